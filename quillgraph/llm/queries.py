@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, mixing, secrets
+from quillgraph.llm import decontam, mixing, secrets, simhash
 from quillgraph.llm.common import table
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_secret_scan, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op5_simhash, op7_secret_scan, op9_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
