@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from quillgraph.llm.common import WORD, cut, only
 
 MOST_PATTERNS = 100_000
+#: Tables of one short row per pattern are broadcast up to this many rows, under 2 MB.
+MOST_BROADCAST = 10_000
 DIGIT_BITS, DIGITS = 10, 4
 
 
@@ -103,53 +105,80 @@ def _hash(seed: int, doc_id: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 64 - DIGIT_BITS * DIGITS)
 
 
-def mix(docs: DataFrame, quotas: Callable[[dict], dict], sources_col: str = "sources", id_col: str = "doc_id", text_col: str = "text", repeats: int = 2, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, pattern, size, taken. ``sources_col`` is an array of the sources that hold the document.
+def _with_keys(docs: DataFrame, sources: Column, doc_id: Column, text: Column, seed: int) -> DataFrame:
+    """``docs`` with _pattern, _size and _hash."""
+    pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array()))))
+    return docs.withColumns({"_pattern": pattern, "_size": words(text), "_hash": _hash(seed, doc_id)})
 
-    ``quotas`` maps the words of each source to the words wanted from it. A document without sources gives nothing.
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if it is known to be small."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
+def bounds(slim: DataFrame, sources: dict, size: dict, quotas: Callable[[dict], dict], repeats: int) -> DataFrame:
+    """What each pattern gives: _pattern, full passes, words of the partial pass at its bound, the bound's hash and its words.
+
+    ``slim`` has _pattern, _size and _hash; ``sources`` and ``size`` are those of each pattern.
     """
-    spark = docs.sparkSession
-    slim = only(docs, id_col, sources_col, text_col).toDF("doc_id", "sources", "text")
-    slim = slim.select("doc_id", F.to_json(F.array_sort(F.array_distinct(F.coalesce("sources", F.array())))).alias("pattern"), "sources", words(F.col("text")).alias("size"), _hash(seed, F.col("doc_id")).alias("hash"))
-    slim = cut(slim)
-    rows = slim.groupBy("pattern").agg(F.any_value("sources").alias("sources"), F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} distinct sets of sources")
-    name = {r["pattern"]: tuple(dict.fromkeys(r["sources"] or ())) for r in rows}
-    size = {r["pattern"]: r["size"] for r in rows}
-    supply = {tuple(sorted(name[p], key=lambda s: (s is None, s or ""))): size[p] for p in size if name[p] and size[p]}
+    spark = slim.sparkSession
+
+    def key(p: str) -> tuple:
+        return tuple(sorted(sources[p], key=lambda s: (s is None, s or "")))
+
     totals: dict = defaultdict(int)
     for p in size:
-        for s in name[p]:
+        for s in sources[p]:
             totals[s] += size[p]
     wanted = {s: round(t) for s, t in quotas(dict(totals)).items() if s in totals}
+    supply = {key(p): size[p] for p in size if sources[p] and size[p]}
     given: dict = defaultdict(int)
     for (p, _), n in cheapest_flow(supply, {s: wanted.get(s, 0) for s in totals}, repeats).items():
         given[p] += n
-    take = {}
+    bound = {}
     for p in size:
-        n = given[tuple(sorted(name[p], key=lambda s: (s is None, s or "")))]
-        take[p] = divmod(n, size[p]) if size[p] else (0, 0)
-    # (whole passes, words of the partial pass, prefix of the hash bound, words of the documents at the bound)
-    bound = {p: (full, rest, 0, size[p]) for p, (full, rest) in take.items()}
-    kind = "pattern string, full bigint, rest bigint, prefix bigint, at bigint"
+        full, rest = divmod(given[key(p)], size[p]) if size[p] else (0, 0)
+        bound[p] = (full, rest, 0, size[p])
+    kind = "_pattern string, full bigint, rest bigint, prefix bigint, at bigint"
     for level in range(1, DIGITS + 1):
         open_ = [(p, *b) for p, b in bound.items() if b[1] > 0]
         if not open_:
             break
-        at = spark.createDataFrame(open_, kind)
+        at = _small(spark.createDataFrame(open_, kind), len(open_))
         shift = DIGIT_BITS * (DIGITS - level)
-        near = slim.join(at, "pattern").where(F.shiftright("hash", shift + DIGIT_BITS) == F.col("prefix"))
-        sums = near.groupBy("pattern", "rest", F.shiftright("hash", shift).alias("digit")).agg(F.sum("size").alias("n"))
-        before = F.sum("n").over(Window.partitionBy("pattern").orderBy("digit")) - F.col("n")
+        near = slim.join(at, "_pattern").where(F.shiftright("_hash", shift + DIGIT_BITS) == F.col("prefix"))
+        sums = near.groupBy("_pattern", "rest", F.shiftright("_hash", shift).alias("digit")).agg(F.sum("_size").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("_pattern").orderBy("digit")) - F.col("n")
         hit = sums.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") >= F.col("rest")))
         for r in hit.collect():
-            bound[r["pattern"]] = (bound[r["pattern"]][0], r["rest"] - r["before"], r["digit"], r["n"])
-    ends = spark.createDataFrame([(p, *b) for p, b in bound.items()], T._parse_datatype_string(kind))
-    here = F.col("hash")
-    part = F.expr("cast(floor(cast(size as decimal(20,0)) * rest / at) as bigint)")
-    extra = F.when(F.col("rest") == 0, 0).when(here < F.col("prefix"), F.col("size")).when(here == F.col("prefix"), part).otherwise(0)
-    return slim.join(ends, "pattern").select("doc_id", "pattern", "size", (F.col("full") * F.col("size") + extra).cast("long").alias("taken"))
+            bound[r["_pattern"]] = (bound[r["_pattern"]][0], r["rest"] - r["before"], r["digit"], r["n"])
+    return _small(spark.createDataFrame([(p, *b) for p, b in bound.items()], kind), len(bound))
+
+
+def taken() -> Column:
+    """The words a document gives, from its own _size and _hash and its pattern's bounds."""
+    part = F.expr("cast(floor(cast(_size as decimal(20,0)) * rest / at) as bigint)")
+    here = F.col("_hash")
+    extra = F.when(F.col("rest") == 0, 0).when(here < F.col("prefix"), F.col("_size")).when(here == F.col("prefix"), part).otherwise(0)
+    return (F.col("full") * F.col("_size") + extra).cast("long")
+
+
+def mix(docs: DataFrame, quotas: Callable[[dict], dict], sources_col: str = "sources", id_col: str = "doc_id", text_col: str = "text", repeats: int = 2, seed: int = 17, keep: bool = False) -> DataFrame:
+    """One row per document: doc_id, _pattern, size, taken. ``sources_col`` is an array of the sources that hold the document.
+
+    ``quotas`` maps the words of each source to the words wanted from it. A document without sources gives nothing. With ``keep``
+    the columns of ``docs`` come back, and ``taken``, for the documents that give any word.
+    """
+    keyed = _with_keys(docs, F.col(f"`{sources_col}`"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed)
+    slim = cut(keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{sources_col}`").alias("sources"), "_pattern", "_size", "_hash"))
+    rows = slim.groupBy("_pattern").agg(F.any_value("sources").alias("sources"), F.sum("_size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} distinct sets of sources")
+    ends = bounds(slim, {r[0]: tuple(dict.fromkeys(r["sources"] or ())) for r in rows}, {r[0]: r["size"] for r in rows}, quotas, repeats)
+    if keep:
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        return keyed.join(ends, "_pattern").withColumn("_taken", taken()).where("_taken > 0").select(*names, F.col("_taken").alias("taken"))
+    return slim.join(ends, "_pattern").select("doc_id", "_pattern", F.col("_size").alias("size"), taken().alias("taken"))
 
 
 def weighted(sizes: dict, weights: tuple = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2) -> dict:
@@ -169,6 +198,13 @@ def mix_by_source(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
 
     d = only(docs, id_col, source_col, text_col).toDF("doc_id", "source", "text")
     mixed = mix(d.withColumn("sources", F.array("source")), quotas)
-    spark = docs.sparkSession
-    named = spark.createDataFrame([(s, *x) for s, x in told.items()], "source string, source_size bigint, target double").withColumn("pattern", F.to_json(F.array("source")))
-    return mixed.join(named, "pattern").select("doc_id", "size", "source_size", "target", "taken")
+    named = docs.sparkSession.createDataFrame([(s, *x) for s, x in told.items()], "source string, source_size bigint, target double")
+    named = _small(named.withColumn("_pattern", F.to_json(F.array("source"))), len(told))
+    return mixed.join(named, "_pattern").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def select_by_source(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The documents that the mix of ``mix_by_source`` takes words from, with all their columns and ``taken``."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    d = docs.withColumn("_sources", F.array(F.col(f"`{source_col}`")))
+    return mix(d, weighted, "_sources", id_col, text_col, keep=True).select(*names, "taken")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, mixing, secrets, simhash
+from quillgraph.llm import decontam, mixing, secrets, simhash, toxicity
 from quillgraph.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op7_secret_scan, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op5_simhash, op6_toxicity, op7_secret_scan, op9_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
