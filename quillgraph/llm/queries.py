@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, mixing, secrets, simhash, toxicity
+from quillgraph.llm import decontam, mixing, secrets, simhash, topk_search, toxicity, url_filter
 from quillgraph.llm.common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.every_hundredth(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op6_toxicity, op7_secret_scan, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_topk_search, op5_simhash, op6_toxicity, op7_secret_scan, op9_decontamination, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
