@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import retrieval_queries
+from quillgraph.plans import duplicate_queries, retrieval_queries
 
-_ALL = retrieval_queries.QUERIES
+_ALL = retrieval_queries.QUERIES | duplicate_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
