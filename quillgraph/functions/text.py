@@ -80,8 +80,8 @@ def body_words(line: Column) -> Column:
 
 
 def counter_text(score: Column) -> Column:
-    """A score with 12 significant digits, as run files print it."""
-    return F.format_string("%.12g", score)
+    """A score with 12 significant digits and no zeros after them but one behind the point, as run files print it."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.12g", score), r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
 
 
 def power_of_two(n: int) -> bool:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -117,13 +116,9 @@ def _inside(found: Column, content: bool) -> Column:
 
 
 def unquoted(local: Column) -> Column:
-    """Percent escapes decoded, but for an escaped slash, which becomes %2F."""
-
-    @F.pandas_udf("string")
-    def of(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None or "%" not in t else "%2F".join(unquote(x) for x in t.replace("%2f", "%2F").split("%2F")))
-
-    return of(local)
+    """Percent escapes decoded, but for an escaped slash, which becomes %2F; what is no escape stays as it is."""
+    safe = F.regexp_replace(F.replace(local, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.try_url_decode(F.regexp_replace(safe, "%2[fF]", "%252F"))
 
 
 def content_type(header: Column) -> Column:

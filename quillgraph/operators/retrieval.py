@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import tokens
+from quillgraph.functions.text import counter_text, tokens
 
 
 @dataclass
@@ -118,5 +118,5 @@ def average_precision(scores: DataFrame, relevant: DataFrame, most: int = 1000,
 
 def run_lines(scores: DataFrame) -> DataFrame:
     """Lines of a run file."""
-    text = F.col("score").cast("string") if dict(scores.dtypes)["score"] in ("bigint", "int") else F.format_string("%.12g", F.col("score"))
+    text = F.col("score").cast("string") if dict(scores.dtypes)["score"] in ("bigint", "int") else counter_text(F.col("score"))
     return scores.select(F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("0"), F.col("doc_id").cast("string"), F.lit("0"), text, F.lit("0")).alias("line"))
