@@ -32,3 +32,8 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that further columns of the input cannot clash with the operator's own."""
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+def packed(df: DataFrame, *skip: str) -> DataFrame:
+    """``df`` as one column ``_row``, so that no name of its own can clash; columns named in ``skip`` are left out."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in skip)).alias("_row"))

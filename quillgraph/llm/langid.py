@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_mod, only
+from quillgraph.llm.common import crc_mod, only, packed
 
 ORDER, PER_LANGUAGE, CHARACTERS, CALIBRATE = 4, 240, 300_000, 5
 CHUNK = 1 << 18
@@ -270,7 +270,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def predict(docs: DataFrame, identifier: Identifier, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected."""
+    """``docs`` with lang_pred, score and rejected, in place of columns of its own that have these names."""
     held = docs.sparkSession.sparkContext.broadcast(identifier)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -278,7 +278,8 @@ def predict(docs: DataFrame, identifier: Identifier, text_col: str = "text") ->
         for part in texts:
             yield pd.DataFrame([held.value.identify(t) for t in part], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_said", say(F.col(f"`{text_col}`"))).select(*(F.col(f"`{c}`") for c in docs.columns), "_said.*")
+    kept = packed(docs, "lang_pred", "score", "rejected") if text_col not in ("lang_pred", "score", "rejected") else packed(docs)
+    return kept.select("_row", say(F.col(f"_row.`{text_col}`")).alias("_said")).select("_row.*", "_said.*")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -10,7 +10,9 @@ template listed first wins; repeated rows give repeated results; an empty table
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +51,8 @@ def bigrams_of(words: list[str]) -> list[str]:
 
 def sizes(m: int, threshold: float) -> tuple[int, int]:
     """The numbers of bigrams that can reach the threshold against m."""
-    return -int(-(m * threshold / (2 - threshold)) // 1), int(m * (2 - threshold) / threshold)
+    t = Fraction(str(threshold))
+    return math.ceil(m * t / (2 - t)), math.floor(m * (2 - t) / t)
 
 
 def normal(text: Column) -> Column:

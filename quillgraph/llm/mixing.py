@@ -105,10 +105,10 @@ def _hash(seed: int, doc_id: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 64 - DIGIT_BITS * DIGITS)
 
 
-def _with_keys(docs: DataFrame, sources: Column, doc_id: Column, text: Column, seed: int) -> DataFrame:
-    """``docs`` with _pattern, _size and _hash."""
+def _keys(sources: Column, doc_id: Column, text: Column, seed: int) -> list[Column]:
+    """_pattern, _size and _hash of a document."""
     pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array()))))
-    return docs.withColumns({"_pattern": pattern, "_size": words(text), "_hash": _hash(seed, doc_id)})
+    return [pattern.alias("_pattern"), words(text).alias("_size"), _hash(seed, doc_id).alias("_hash")]
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -163,21 +163,21 @@ def taken() -> Column:
     return (F.col("full") * F.col("_size") + extra).cast("long")
 
 
-def mix(docs: DataFrame, quotas: Callable[[dict], dict], sources_col: str = "sources", id_col: str = "doc_id", text_col: str = "text", repeats: int = 2, seed: int = 17, keep: bool = False) -> DataFrame:
-    """One row per document: doc_id, _pattern, size, taken. ``sources_col`` is an array of the sources that hold the document.
+def mix(docs: DataFrame, quotas: Callable[[dict], dict], sources: Column, id_col: str = "doc_id", text_col: str = "text", repeats: int = 2, seed: int = 17, keep: bool = False) -> DataFrame:
+    """One row per document: doc_id, _pattern, size, taken. ``sources`` is an array of the sources that hold the document.
 
     ``quotas`` maps the words of each source to the words wanted from it. A document without sources gives nothing. With ``keep``
-    the columns of ``docs`` come back, and ``taken``, for the documents that give any word.
+    the columns of ``docs`` come back (but for a ``taken`` of their own), and ``taken``, for the documents that give any word.
     """
-    keyed = _with_keys(docs, F.col(f"`{sources_col}`"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed)
-    slim = cut(keyed.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{sources_col}`").alias("sources"), "_pattern", "_size", "_hash"))
+    keys = _keys(sources, F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed)
+    slim = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), sources.alias("sources"), *keys))
     rows = slim.groupBy("_pattern").agg(F.any_value("sources").alias("sources"), F.sum("_size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} distinct sets of sources")
     ends = bounds(slim, {r[0]: tuple(dict.fromkeys(r["sources"] or ())) for r in rows}, {r[0]: r["size"] for r in rows}, quotas, repeats)
     if keep:
-        names = [F.col(f"`{c}`") for c in docs.columns]
-        return keyed.join(ends, "_pattern").withColumn("_taken", taken()).where("_taken > 0").select(*names, F.col("_taken").alias("taken"))
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "taken")).alias("_row")
+        return docs.select(row, *keys).join(ends, "_pattern").withColumn("taken", taken()).where("taken > 0").select("_row.*", "taken")
     return slim.join(ends, "_pattern").select("doc_id", "_pattern", F.col("_size").alias("size"), taken().alias("taken"))
 
 
@@ -197,7 +197,7 @@ def mix_by_source(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
         return targets
 
     d = only(docs, id_col, source_col, text_col).toDF("doc_id", "source", "text")
-    mixed = mix(d.withColumn("sources", F.array("source")), quotas)
+    mixed = mix(d, quotas, F.array("source"))
     named = docs.sparkSession.createDataFrame([(s, *x) for s, x in told.items()], "source string, source_size bigint, target double")
     named = _small(named.withColumn("_pattern", F.to_json(F.array("source"))), len(told))
     return mixed.join(named, "_pattern").select("doc_id", "size", "source_size", "target", "taken")
@@ -205,6 +205,4 @@ def mix_by_source(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
 
 def select_by_source(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents that the mix of ``mix_by_source`` takes words from, with all their columns and ``taken``."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    d = docs.withColumn("_sources", F.array(F.col(f"`{source_col}`")))
-    return mix(d, weighted, "_sources", id_col, text_col, keep=True).select(*names, "taken")
+    return mix(docs, weighted, F.array(F.col(f"`{source_col}`")), id_col, text_col, keep=True)

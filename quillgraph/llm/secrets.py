@@ -117,10 +117,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mark``; overlapping spans are replaced as one."""
-    names = docs.columns
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     base = F.concat(_matches(text, ASSIGN, 0, 2, 8), _matches(text, ACCESS, 1), _matches(text, HEX, 2), *(_entropy_spans(text, k) for k in CLASSES))
-    d = docs.withColumn("_spans", F.array_sort(F.transform(base, lambda s: F.struct(s["start"], s["stop"]))))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    d = docs.select(row, F.array_sort(F.transform(base, lambda s: F.struct(s["start"], s["stop"]))).alias("_spans"))
+    text = F.col(f"_row.`{text_col}`")
 
     def cover(state: Column, s: Column) -> Column:
         start, stop = F.greatest(s["start"], state["at"]), F.greatest(s["stop"], state["at"])
@@ -130,4 +131,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> D
 
     done = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), cover)
     whole = F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
-    return d.withColumn(text_col, F.when(F.size("_spans") > 0, whole).otherwise(F.col(f"`{text_col}`"))).select(*(F.col(f"`{n}`") for n in names))
+    masked = F.when(F.size("_spans") > 0, whole).otherwise(text)
+    return d.select(*((masked if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import cut, only
+from quillgraph.llm.common import cut, only, packed
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of one key that one task indexes at once; fan-out of the tree; queries that descend together.
@@ -293,7 +293,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     found = cut(group(docs, id_col, text_col, shingle, radius, lanes, most).select("doc_id", "component_id"))
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop"))
-    out = docs.join(drop, F.col(f"`{id_col}`") == F.col("_drop"), "left_anti")
+    mine = F.col(f"_row.`{id_col}`")
+    out = packed(docs).join(drop, mine == F.col("_drop"), "left_anti").select("_row.*")
     if repeated:
-        out = out.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(f"`{id_col}`").isNull()))
+        own = F.col(f"`{id_col}`")
+        out = out.where(own.isNotNull()).dropDuplicates([id_col]).unionByName(out.where(own.isNull()))
     return out

@@ -8,7 +8,7 @@ a cell returns k rows a query, so neither side ever has to fit one task.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; vectors of
 different lengths are compared over their common components, missing ones counting 0; rows that share an id count once, with the
-least vector; an empty vector scores 0; scores beyond 63 bits are held at the limit; an empty table gives an empty result; further
+least vector; an empty vector scores 0; scores beyond 63 bits are held at the limit before they are ranked; an empty table gives an empty result; further
 columns are dropped.
 """
 
@@ -82,7 +82,7 @@ def search(q_ids: np.ndarray, q: list, x_ids: np.ndarray, x: list, k: int = K) -
         elif exact:
             score = np.einsum("ij,ij->i", b[live_q], rows[live_x])
         else:
-            score = np.array([sum(int(u) * int(v) for u, v in zip(b[i], rows[j], strict=True)) for i, j in zip(live_q, live_x, strict=True)], object)
+            score = np.array([min(MOST, max(LEAST, sum(int(u) * int(v) for u, v in zip(b[i], rows[j], strict=True)))) for i, j in zip(live_q, live_x, strict=True)], object)
         for i, lo, hi in _runs(live_q):
             s, v = score[lo:hi], ids[live_x[lo:hi]]
             if exact and len(s) > 4 * k:
@@ -96,7 +96,7 @@ def search(q_ids: np.ndarray, q: list, x_ids: np.ndarray, x: list, k: int = K) -
                 floor[i] = float(-top[-1][0])
     out = []
     for i, qid in enumerate(q_ids.tolist()):
-        out += [(qid, int(v), int(min(MOST, max(LEAST, s)))) for s, v in zip(best_s[i], best_i[i], strict=True) if s is not None and s != -np.inf]
+        out += [(qid, int(v), int(s)) for s, v in zip(best_s[i], best_i[i], strict=True) if s is not None and s != -np.inf]
     return out
 
 
