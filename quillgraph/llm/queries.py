@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontam, langid, licenses, mixing, quality, secrets, simhash, topk_search, toxicity, url_filter
+from quillgraph.llm import decontam, langid, licenses, mixing, oracles, quality, secrets, simhash, topk_search, toxicity, url_filter
 from quillgraph.llm.common import table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_topk_search": oracles.TOPK, "op7_secret_scan": oracles.SECRETS, "op8_license_scan": oracles.LICENSES}

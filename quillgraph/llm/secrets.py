@@ -1,7 +1,7 @@
 """Secret scanning by fixed patterns and by sliding-window entropy, as one projection without a shuffle.
 
-Entropy spans: a candidate is a maximal run of one character class (hexadecimal digits, or the base-64 and URL-safe alphabet)
-of at least ``WINDOW`` characters. A window of that length slides over it. The sum of c*log2(c) over the window's character
+Entropy spans: a candidate is a maximal run of at least ``WINDOW`` characters of the base-64 and URL-safe alphabet; one of
+hexadecimal digits only belongs to that class, any other to the larger one. A window of that length slides over it. The sum of c*log2(c) over the window's character
 counts is kept up to date by the one count that falls and the one that rises, in integers of 2**-20 bits, so that every engine
 gets the same sum. A candidate becomes a span if its highest window entropy reaches the threshold of its class, unless the
 allow-list suppresses it or a pattern's span covers it.
@@ -27,11 +27,10 @@ KINDS = ("assign", "access", "hex", "hexrun", "b64run")
 
 WINDOW = 20
 SCALE = 1 << 20
-#: Character class: pattern of candidates and least entropy in bits of some window of 20 characters.
-CLASSES = {
-    "hexrun": (rf"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{{{WINDOW},}}(?![A-Za-z0-9+/_=-])", 2.9),
-    "b64run": (rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}", 3.6),
-}
+RUN = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
+HEX_RUN = "^[0-9A-Fa-f]+$"
+#: Character class: least entropy in bits of some window of 20 characters.
+CLASSES = {"hexrun": 2.9, "b64run": 3.6}
 #: Candidates that are no secrets: those without a digit or without a letter, UUIDs, rulers, and documented sample keys.
 ALLOW = r"^[^0-9]*$|^[^A-Za-z]*$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i)example|sample|placeholder|changeme|x{6}|0{8}|(.)\1{7}"
 
@@ -80,10 +79,16 @@ def least_sum(found: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(chars)), F.struct(F.lit(0).cast("long").alias("total"), F.lit(1 << 60).cast("long").alias("least")), slide)["least"]
 
 
-def _entropy_spans(text: Column, kind: str) -> Column:
-    pattern, threshold = CLASSES[kind]
-    candidates = F.filter(_matches(text, pattern, KINDS.index(kind)), lambda s: ~F.regexp_like(s["found"], F.lit(ALLOW)))
-    return F.filter(candidates, lambda s: least_sum(s["found"]) <= most_allowed(threshold))
+def _entropy_spans(text: Column) -> Column:
+    """Spans of the entropy method; a run of hexadecimal digits only is judged as such."""
+    candidates = F.filter(_matches(text, RUN, KINDS.index("b64run")), lambda s: ~F.regexp_like(s["found"], F.lit(ALLOW)))
+
+    def judge(s: Column) -> Column:
+        total, hexed = least_sum(s["found"]), F.regexp_like(s["found"], F.lit(HEX_RUN))
+        kind = F.when(hexed & (total <= most_allowed(CLASSES["hexrun"])), KINDS.index("hexrun")).when(~hexed & (total <= most_allowed(CLASSES["b64run"])), KINDS.index("b64run"))
+        return F.struct(s["start"].alias("start"), kind.alias("rank"), s["stop"].alias("stop"), s["found"].alias("found"))
+
+    return F.filter(F.transform(candidates, judge), lambda s: s["rank"].isNotNull())
 
 
 def _write(spans: Column) -> Column:
@@ -97,11 +102,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     d = only(docs, id_col, text_col).toDF("doc_id", "text")
     d = d.withColumns({"assign": _matches(text, ASSIGN, 0, 2, 8), "access": _matches(text, ACCESS, 1), "hex": _matches(text, HEX, 2)})
     d = d.withColumn("base", F.concat("assign", "access", "hex"))
-    runs = F.concat(*(_entropy_spans(text, k) for k in CLASSES))
     uncovered = F.filter(F.col("runs"), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] <= s["start"]) & (b["stop"] >= s["stop"])))
-    # A hexadecimal run is a run of the larger alphabet too: the narrower class names it.
-    single = F.filter(F.col("added"), lambda s: (s["rank"] == 3) | ~F.exists(F.col("added"), lambda b: (b["rank"] == 3) & (b["start"] == s["start"])))
-    return d.withColumn("runs", runs).withColumn("added", uncovered).withColumn("added", single).drop("runs")
+    return d.withColumn("runs", _entropy_spans(text)).withColumn("added", uncovered).drop("runs")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """``docs`` with every span of the text replaced by ``mark``; overlapping spans are replaced as one."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = F.concat(_matches(text, ASSIGN, 0, 2, 8), _matches(text, ACCESS, 1), _matches(text, HEX, 2), *(_entropy_spans(text, k) for k in CLASSES))
+    base = F.concat(_matches(text, ASSIGN, 0, 2, 8), _matches(text, ACCESS, 1), _matches(text, HEX, 2), _entropy_spans(text))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     d = docs.select(row, F.array_sort(F.transform(base, lambda s: F.struct(s["start"], s["stop"]))).alias("_spans"))
     text = F.col(f"_row.`{text_col}`")

@@ -24,16 +24,15 @@ def slow_base(text):
 def slow_added(text):
     """Spans of the entropy method, every window counted anew."""
     t, base, out = text or "", slow_base(text), []
-    for kind, (pattern, threshold) in secrets.CLASSES.items():
-        for m in re.finditer(pattern, t):
-            if re.search(secrets.ALLOW.replace("(?i)", "(?i:", 1) + ")", m[0]):
-                continue
-            windows = [m[0][i : i + 20] for i in range(len(m[0]) - 19)]
-            h = max(-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) for w in windows)
-            if h >= threshold - 1e-7 and not any(s <= m.start() and m.end() <= e for s, _, e in base):
-                out.append((m.start(), secrets.KINDS.index(kind), m.end()))
-    hexed = {s for s, k, _ in out if k == 3}
-    return [x for x in out if x[1] == 3 or x[0] not in hexed]
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+        if re.search(secrets.ALLOW.replace("(?i)", "(?i:", 1) + ")", m[0]):
+            continue
+        kind = "hexrun" if re.fullmatch("[0-9A-Fa-f]+", m[0]) else "b64run"
+        windows = [m[0][i : i + 20] for i in range(len(m[0]) - 19)]
+        h = max(-sum(w.count(c) / 20 * math.log2(w.count(c) / 20) for c in set(w)) for w in windows)
+        if h >= secrets.CLASSES[kind] - 1e-7 and not any(s <= m.start() and m.end() <= e for s, _, e in base):
+            out.append((m.start(), secrets.KINDS.index(kind), m.end()))
+    return out
 
 
 def write(spans):
