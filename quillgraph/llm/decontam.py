@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import only
 
-MIN_TILE, COVERAGE, BLOCK_BYTES = 5, 0.6, 16 << 20
+MIN_TILE, COVERAGE, BLOCK_BYTES = 5, 0.5, 16 << 20
 BASE = 0x9E3779B97F4A7C15
 TOKEN = re.compile(r"\w+")
 FOUND = "array<struct<item_id:bigint,coverage:double,tiles:int,longest:int>>"

@@ -36,6 +36,10 @@ from quillgraph.llm.common import cut, only, packed
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of one key that one task indexes at once; fan-out of the tree; queries that descend together.
 CELL, FAN, QUERIES = 1 << 18, 8, 512
+#: Keys of up to so many fingerprints are compared pair by pair, many keys at once.
+SMALL = 128
+#: A fingerprint of more than one in so many rows is joined apart.
+HOT = 1000
 #: Rows to gather before small keys are compared, all at once.
 BUFFER = 1 << 16
 CHUNK = 1 << 15
@@ -112,10 +116,10 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None)
 
 
 class Links:
-    """Which of two fingerprints are linked: the first lane within the radius, all lanes within ``most``."""
+    """Which of two fingerprints are linked: the first lane within ``reach``, all lanes together within ``most``."""
 
-    def __init__(self, radius: int, most: int) -> None:
-        self.radius, self.most = radius, most
+    def __init__(self, reach: int, most: int) -> None:
+        self.reach, self.most = reach, most
 
     def close(self, lanes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if len(lanes) == 1:
@@ -132,7 +136,7 @@ class Links:
             live = live[run[live] == run[live + lag]]
             if not len(live):
                 break
-            a = live[np.bitwise_count(x[live] ^ x[live + lag]) <= self.radius]
+            a = live[np.bitwise_count(x[live] ^ x[live + lag]) <= self.reach]
             a = a[self.close(lanes, a, a + lag)]
             label = roots(n, a, a + lag, label)
         return label
@@ -162,7 +166,7 @@ class Links:
             for level in range(top, -1, -1):
                 acc = acc + np.bitwise_count((x[who] ^ all_of[level][node]) & own[level][node])
                 mine = label[who]
-                keep = (acc <= self.radius) & ((low[level][node] != mine) | (high[level][node] != mine)) & ((node + 1) * FAN**level > who)
+                keep = (acc <= self.reach) & ((low[level][node] != mine) | (high[level][node] != mine)) & ((node + 1) * FAN**level > who)
                 who, node, acc = who[keep], node[keep], acc[keep]
                 if level:
                     who, acc = np.repeat(who, FAN), np.repeat(acc, FAN)
@@ -174,18 +178,19 @@ class Links:
         return label
 
 
-def _forest(links: Links, lanes: int):
+def _forest(links: Links, lanes: int, masks: list[int]):
+    mask_of = np.array(masks, np.int64)
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solve(run: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
         size = np.diff(np.append(first, len(run)))
         label = np.arange(len(run))
-        short = np.repeat(size <= 4 * FAN, size)
+        short = np.repeat(size <= SMALL, size)
         if short.any():
             at = np.flatnonzero(short)
             label[at] = at[links.small(x[:, at], run[at])]
-        for f, s in zip(first[size > 4 * FAN], size[size > 4 * FAN], strict=True):
+        for f, s in zip(first[size > SMALL], size[size > SMALL], strict=True):
             label[f : f + s] = f + links.tree(x[:, f : f + s])
         far = np.flatnonzero(label != np.arange(len(run)))
         keys = x[0].view(np.int64)
@@ -198,7 +203,8 @@ def _forest(links: Links, lanes: int):
 
         def arrays() -> tuple[np.ndarray, np.ndarray]:
             t = pa.Table.from_batches(held)
-            key = np.stack([t[c].to_numpy() for c in ("t", "key", "cell")])
+            table = t["t"].to_numpy()
+            key = np.stack([table, t["x0"].to_numpy() & mask_of[table], *((t["cell"].to_numpy(),) if "cell" in t.schema.names else ())])
             run = np.concatenate(([0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))))
             return run, np.stack([np.ascontiguousarray(t[f"x{i}"].to_numpy()).view(np.uint64) for i in range(lanes)])
 
@@ -222,33 +228,36 @@ def _forest(links: Links, lanes: int):
     return search
 
 
-def forest(distinct: DataFrame, radius: int, lanes: int = 1, most: int = 128, cell: int = CELL) -> DataFrame:
-    """Edges (a, b) that connect whatever is linked among the distinct fingerprints x0, x1, ..."""
+def forest(distinct: DataFrame, radius: int, lanes: int = 1, most: int = 64, cell: int = CELL, reach: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect whatever is linked among the distinct fingerprints x0, x1, ...
+
+    Two fingerprints are linked if their first lanes differ in at most ``radius`` bits and all lanes together in at most ``most``.
+    With a larger ``reach``, those that share a key are linked up to that many bits of the first lane too.
+    """
     spark = distinct.sparkSession
     n = distinct.count()
     masks = [_signed(m) for m in key_masks(radius, n)]
     x = [f"x{i}" for i in range(lanes)]
 
-    def keyed(df: DataFrame) -> DataFrame:
-        each = df.select(*x, F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("t", "mask"))
-        return each.select("t", F.col("x0").bitwiseAND(F.col("mask")).alias("key"), *x)
-
-    rows = keyed(distinct)
+    # The key follows from table and fingerprint, so it is not shuffled.
+    key = F.col("x0").bitwiseAND(F.get(F.array(*map(F.lit, masks)), F.col("t"))).alias("key")
+    rows = distinct.select(*x, F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"))
+    by = ["t", key]
     hot = []
     if n > cell:
-        few = distinct.where(F.pmod(F.xxhash64("x0"), F.lit(SAMPLE)) == 0)
-        hot = keyed(few).groupBy("t", "key").count().where(F.col("count") * SAMPLE > cell).collect()
+        few = rows.where(F.pmod(F.xxhash64("x0"), F.lit(SAMPLE)) == 0)
+        hot = few.groupBy(*by).count().where(F.col("count") * SAMPLE > cell).collect()
     if hot:
-        # A hot key's fingerprints are dealt into shards; every pair of shards is a cell.
+        # A hot key's fingerprints are dealt into shards; every pair of shards is a cell. There are at most (tables * n / cell) such keys.
         shards = spark.createDataFrame([(r["t"], r["key"], -(-r["count"] * SAMPLE * 2 // cell)) for r in hot], "t int, key bigint, shards int")
         mine = F.pmod(F.xxhash64(F.lit(7), "x0"), F.col("shards")).cast("int")
         cells = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.least(o, F.col("mine")) * F.col("shards") + F.greatest(o, F.col("mine")))
-        rows = rows.join(shards, ["t", "key"], "left").withColumn("mine", mine)
-        rows = rows.withColumn("cell", F.explode(F.coalesce(cells, F.array(F.lit(0))))).drop("mine", "shards")
-    else:
-        rows = rows.withColumn("cell", F.lit(0))
-    dealt = rows.repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell", gray_rank(F.col("x0")))
-    found = dealt.select("t", "key", "cell", *x).mapInArrow(_forest(Links(radius, most), lanes), "a bigint, b bigint")
+        rows = rows.withColumn("key", key).join(shards, ["t", "key"], "left").withColumn("mine", mine)
+        rows = rows.withColumn("cell", F.explode(F.coalesce(cells, F.array(F.lit(0))))).select("t", *x, "cell")
+        by.append("cell")
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, gray_rank(F.col("x0")))
+    links = Links(radius if reach is None else max(radius, reach), most)
+    found = dealt.mapInArrow(_forest(links, lanes, masks), "a bigint, b bigint")
     return found.distinct()
 
 
@@ -270,27 +279,35 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, lanes: int = 1, most: int = 128, cell: int = CELL) -> DataFrame:
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, lanes: int = 1, most: int = 64, cell: int = CELL, reach: int | None = None) -> DataFrame:
     """doc_id, fingerprint in hexadecimal digits, and component_id, the smallest id reachable over links."""
     d = only(docs, id_col, text_col).toDF("doc_id", "text")
     d = d.select("doc_id", fingerprints(F.col("text"), shingle, lanes).alias("x"))
     d = cut(d.select("doc_id", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(lanes))))
-    distinct = d.groupBy("x0").agg(*(F.min(f"x{i}").alias(f"x{i}") for i in range(1, lanes)), F.min("doc_id").alias("least_id"))
-    root = components(forest(distinct, radius, lanes, most, cell))
+    distinct = d.groupBy("x0").agg(*(F.min(f"x{i}").alias(f"x{i}") for i in range(1, lanes)), F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+    distinct = cut(distinct)
+    root = components(forest(distinct, radius, lanes, most, cell, reach))
     linked = distinct.select("x0", "least_id").join(root, F.col("x0") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = linked.join(least, "root").select(F.col("node"), "component_id")
-    named = distinct.join(linked, F.col("x0") == F.col("node"), "left").select("x0", F.coalesce("component_id", "least_id").alias("component_id"))
-    return d.join(named, "x0").select("doc_id", F.lower(F.lpad(F.hex("x0"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(linked, F.col("x0") == F.col("node"), "left").select("x0", "n", F.coalesce("component_id", "least_id").alias("component_id"))
+    # Fingerprints of more than one in HOT rows, of which there are fewer than HOT, meet their rows by broadcast, the others by key.
+    rows = distinct.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > max(HOT, rows // HOT)
+    hot = F.broadcast(cut(named.where(often)))
+    parts = d.join(hot, "x0"), d.join(hot.select("x0"), "x0", "left_anti").join(named.where(~often), "x0")
+    both = parts[0].unionByName(parts[1])
+    return both.select("doc_id", F.lower(F.lpad(F.hex("x0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 8, lanes: int = 2, most: int = 20) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 8, lanes: int = 4, most: int = 40, reach: int = 14) -> DataFrame:
     """``docs`` with the document of the smallest id of each component. Rows of one id count as one document; rows without stay.
 
-    Defaults: five words; a pair is linked if its fingerprints differ in at most 8 of 64 bits and, with the second lane, in at most
-    20 of 128: of two sets of shingles that share 0.8 of their union, 0.15 of the bits differ on average.
+    Defaults: five words; a pair is linked if its fingerprints differ in at most 40 of 256 bits (of two sets of shingles that share
+    0.8 of their union, 0.15 of the bits differ on average) and the first 64 in at most 8. Pairs that differ in 9 to 14 of the
+    first 64 bits are linked as well where they share a key, which most do; only those within 8 are certain to.
     """
-    found = cut(group(docs, id_col, text_col, shingle, radius, lanes, most).select("doc_id", "component_id"))
+    found = cut(group(docs, id_col, text_col, shingle, radius, lanes, most, reach=reach).select("doc_id", "component_id"))
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop"))
     mine = F.col(f"_row.`{id_col}`")

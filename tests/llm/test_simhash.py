@@ -96,7 +96,7 @@ def test_tree_and_small_runs_agree():
     for _ in range(7):
         x = x ^ (np.uint64(1) << rng.integers(0, 64, len(x), dtype=np.uint64))
     x = np.sort(x)[None]
-    links = simhash.Links(4, 128)
+    links = simhash.Links(4, 64)
     assert (links.tree(x) == links.small(x, np.zeros(700, int))).all()
 
 
