@@ -83,6 +83,27 @@ def parsed_links(html: Column) -> Column:
     return of(html)
 
 
+def scanned_links(html: Column) -> Column:
+    """The same without a parser, inside the JVM: comments and a-tags are cut out in order and the last content comment is carried
+    along. Entities in values stay as they are written, but for the ampersand's.
+    """
+    plain = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    pieces = F.regexp_extract_all(plain, F.lit(r"(?is)<!--.*?-->|<a\s[^>]*>"), F.lit(0))
+    value = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    start = F.expr("named_struct('inside', false, 'found', cast(array() as array<struct<pos:int,href:string,in_content:boolean>>))")
+
+    def step(state: Column, piece: Column) -> Column:
+        mark = F.trim(F.regexp_extract(piece, r"(?s)^<!--(.*)-->$", 1))
+        inside = F.when(mark == "CONTENT", True).when(mark == "/CONTENT", False).otherwise(state["inside"])
+        counts = ~F.startswith(piece, F.lit("<!--")) & ~F.endswith(piece, F.lit("/>")) & F.regexp_like(piece, F.lit(r"(?i)\shref\b"))
+        href = F.concat(*(F.regexp_extract(piece, value, i) for i in (1, 2, 3)))
+        href = F.when(F.regexp_like(piece, F.lit(value)), F.replace(href, F.lit("&amp;"), F.lit("&")))
+        link = F.struct(F.size(state["found"]).alias("pos"), href.alias("href"), state["inside"].alias("in_content"))
+        return F.struct(inside.alias("inside"), F.when(counts, F.concat(state["found"], F.array(link))).otherwise(state["found"]).alias("found"))
+
+    return F.aggregate(pieces, start, step)["found"]
+
+
 def malformed(html: Column) -> Column:
     """Whether a tag is never closed, which the parser would pass over in silence."""
     return F.regexp_like(html, F.lit(r"<[A-Za-z/!][^<>]*(<|$)"))

@@ -77,3 +77,8 @@ def hamming(a: Column, b: Column, digits: int) -> Column:
         n = min(15, digits - at)
         total = total + F.bit_count(F.conv(F.substring(a, at + 1, n), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(b, at + 1, n), 16, 10).cast("long")))
     return total
+
+
+def bands(print_: Column) -> Column:
+    """(band, digit) of every hexadecimal digit, four bits each."""
+    return F.transform(F.filter(F.split(print_, ""), lambda c: c != ""), lambda c, i: F.struct(i.cast("int").alias("band"), c.alias("digit")))

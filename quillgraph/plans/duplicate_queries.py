@@ -127,6 +127,10 @@ def simhash_bits(spark: SparkSession, sf: str) -> DataFrame:
     return _prints(spark, sf)
 
 
+def fingerprint_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return _prints(spark, sf).select("id", F.inline(fingerprint.bands(F.col("print"))))
+
+
 def near_dups_bands(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.near_pairs(_prints(spark, sf))
 
@@ -167,6 +171,7 @@ QUERIES = {
     "exact_dup_classes": (exact_dup_classes, f"WITH {SPEECHES} SELECT id, min(id) OVER (PARTITION BY words) AS class_id FROM speeches QUALIFY count(*) OVER (PARTITION BY words) > 1"),
     "numeric_predicate": (numeric_predicate, rf"SELECT word, count(*) AS n FROM (SELECT unnest({WORDS.format('text')}) AS word FROM documents) WHERE regexp_matches(word, '(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)$') GROUP BY word"),
     "simhash_bits": (simhash_bits, f"WITH {SPEECHES}, {prints_sql('speeches')} SELECT id, print FROM prints"),
+    "fingerprint_bands": (fingerprint_bands, f"WITH {SPEECHES}, {prints_sql('speeches')} SELECT id, unnest(range(32))::INT AS band, unnest(string_split(print, '')) AS digit FROM prints WHERE print <> ''"),
     "near_dups_bands": (near_dups_bands, f"WITH {SPEECHES}, {prints_sql('speeches')}, {BANDS} SELECT * FROM pairs"),
     "near_dups_hamming": (near_dups_hamming, f"WITH {SPEECHES}, {prints_sql('speeches')}, {BITS} SELECT * FROM pairs"),
     "near_dup_lines": (near_dup_lines, f"WITH {SPEECHES}, {prints_sql('speeches')}, {BANDS} SELECT id_a || '-' || id_b AS line FROM pairs"),

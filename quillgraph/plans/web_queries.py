@@ -61,12 +61,20 @@ def _domains(spark: SparkSession, sf: str) -> list[str]:
     return [r["domain"] for r in rows.collect()]
 
 
+def _marked() -> F.Column:
+    """Pages with content comments around their navigation."""
+    return F.replace(F.replace("html", F.lit(OPEN), F.lit(web.OPEN + OPEN)), F.lit(CLOSE), F.lit(CLOSE + web.CLOSE))
+
+
 def content_links_parser(spark: SparkSession, sf: str) -> DataFrame:
-    marked = F.replace(F.replace("html", F.lit(OPEN), F.lit(web.OPEN + OPEN)), F.lit(CLOSE), F.lit(CLOSE + web.CLOSE))
-    found = _pages(spark, sf).select("page_id", F.explode(web.parsed_links(marked)).alias("x"))
+    found = _pages(spark, sf).select("page_id", F.explode(web.parsed_links(_marked())).alias("x"))
     return found.select("page_id", "x.pos", "x.href", "x.in_content")
 
 
+def content_links_scanned(spark: SparkSession, sf: str) -> DataFrame:
+    return _pages(spark, sf).select("page_id", F.inline(web.scanned_links(_marked())))
+
+
 def content_links_regex(spark: SparkSession, sf: str) -> DataFrame:
     return _links(spark, sf).select("page_id", "in_content", "href")
 
@@ -158,14 +166,14 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 _DOMAINS = f"SELECT domain FROM (SELECT {HOST.format('url')} AS domain, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, domain LIMIT {KEPT_DOMAINS})"
 _STATS = [("content urls", "in_content"), ("other urls", "NOT in_content"), ("off-domain urls", "in_content AND off"), ("private urls", "in_content AND NOT off AND NOT allowed")]
 
-QUERIES = {
-    "content_links_parser": (
-        content_links_parser,
-        # Every link of the tables' pages is well-formed, so cutting at the tags finds what a parser finds.
-        f"""WITH tags AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'g'), '<nav>|</nav>|<a href="[^"]*">')) AS tag, generate_subscripts(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'g'), '<nav>|</nav>|<a href="[^"]*">'), 1) AS n FROM pages),
+LINKS = f"""WITH tags AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'g'), '<nav>|</nav>|<a href="[^"]*">')) AS tag, generate_subscripts(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'g'), '<nav>|</nav>|<a href="[^"]*">'), 1) AS n FROM pages),
 said AS (SELECT page_id, n, tag, last_value(CASE WHEN tag = '<nav>' THEN true WHEN tag = '</nav>' THEN false END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY n) AS inside FROM tags)
-SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INT AS pos, tag[10:-3] AS href, coalesce(inside, false) AS in_content FROM said WHERE starts_with(tag, '<a ')""",
-    ),
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INT AS pos, tag[10:-3] AS href, coalesce(inside, false) AS in_content FROM said WHERE starts_with(tag, '<a ')"""
+
+QUERIES = {
+    # Every link of the tables' pages is well-formed, so cutting at the tags finds what a parser finds.
+    "content_links_parser": (content_links_parser, LINKS),
+    "content_links_scanned": (content_links_scanned, LINKS),
     "content_links_regex": (content_links_regex, f"WITH {PLAIN} SELECT page_id, in_content, href FROM links"),
     "url_identifier": (url_identifier, f"SELECT page_id, try_cast(list_last(string_split(split_part({PATH.format('url')}, '.', 1), '/')) AS BIGINT) AS identifier FROM pages"),
     "resolve_relative": (resolve_relative, f"WITH {PLAIN} SELECT page_id, link FROM resolved"),

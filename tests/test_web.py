@@ -71,6 +71,18 @@ def test_links(spark):
     assert value(spark, lambda c: web.links(c)[1], '<a href="x">x</a><a href="y" <b>') == ["x"]
 
 
+def test_scanned_links_equal_parsed_ones(spark):
+    pages = [PAGE, None, "", "<A HREF='x&amp;y' class=q>z</A><a name=n>n</a><a href>e</a><!-- other --><a\nhref=plain>p</a><style>a <a href='no'></style><abbr href='no'>"]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    for r in df.select(web.parsed_links(F.col("html")).alias("a"), web.scanned_links(F.col("html")).alias("b")).collect():
+        assert r.a == r.b
+
+
+def test_decoding(spark):
+    df = spark.createDataFrame([(b"\xe9", None), ("é".encode(), "text/plain; charset=utf-8"), (b"\xff", "x; charset=utf-8"), (b"a", "x; charset=none"), (None, None)], "b binary, h string")
+    assert [r.t for r in df.select(robots.decoded(F.col("b"), F.col("h")).alias("t")).collect()] == ["é", "é", None, None, None]
+
+
 def test_headers(spark):
     assert tuple(value(spark, web.content_type, "Text/HTML; charset='UTF-8'")) == ("text/html", "utf-8")
     assert tuple(value(spark, web.content_type, None)) == ("", "")
