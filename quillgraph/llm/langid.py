@@ -10,8 +10,8 @@ Calibration on sampled texts that the models have not seen: the score is a logis
 times that of the language itself not being rejected; a text is rejected if its cross-entropy is above what ``KEPT`` of its
 language's own texts reach. Rejection is a column of its own: the prediction stays the nearest learned language.
 
-Training reads at most about ``PER_LANGUAGE`` documents a language, chosen by id hash, and of each language at most ``CHARACTERS``
-characters, so that the broadcast tables are bounded for a given number of languages.
+Training reads the ``LANGUAGES`` most frequent languages, of each at most about ``PER_LANGUAGE`` documents, chosen by id hash, and
+at most ``CHARACTERS`` characters, so that the broadcast tables are bounded.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; without training rows every text is; a null id is not
 held out and not trained on; a null language is not trained on; repeated rows give repeated results; ties go to the first language
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import crc_mod, only, packed
 
-ORDER, PER_LANGUAGE, CHARACTERS, CALIBRATE = 4, 240, 300_000, 5
+ORDER, PER_LANGUAGE, CHARACTERS, CALIBRATE, LANGUAGES = 4, 240, 300_000, 5, 200
 CHUNK = 1 << 18
 KEPT = 0.995
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -260,7 +260,7 @@ def train(rows: list[tuple[str, str]]) -> Identifier:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
     """A model from all rows of ``labelled``, sampled by id hash to about PER_LANGUAGE documents a language."""
     d = only(labelled, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where("lang is not null")
-    sizes = {r[0]: r[1] for r in d.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return Identifier(None, [])
     top = 1 << 30

@@ -1,6 +1,6 @@
 """Document quality by hierarchical empirical Bayes over classifier evidence, in DataFrame expressions.
 
-Classifier: shares of marks, capitals, repeated lines and repeated words, and length, cut at quantiles of the training rows; its
+Classifier: shares of marks other than a sentence's, capitals, repeated lines and repeated words, and length, cut at quantiles of the training rows; its
 evidence is the smoothed log-likelihood ratio of the bins, scaled by the factor that fits the training labels best. Sites: every
 document adds to its path and host, a training row its label, any other document its classifier probability. The global Beta prior
 comes from the hosts' rates by moments; a host's posterior mean is the prior of its paths, with the strength the paths' rates show,
@@ -36,7 +36,7 @@ def measures(text: Column) -> dict[str, Column]:
     words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
     lines = F.split(t, "\n")
     return {
-        "marks": F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s]")) / n,
+        "marks": F.regexp_count(t, F.lit(r"""[^\p{L}\p{N}\s.,;:!?'"()-]""")) / n,
         "capitals": F.regexp_count(t, F.lit(r"\p{Lu}")) / n,
         "lines": F.size(F.array_distinct(lines)) / F.size(lines),
         "repeats": F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)),
