@@ -21,6 +21,7 @@ from quillgraph.functions import robots, web
 from quillgraph.functions import text as T
 from quillgraph.operators import crawl, dedup, fingerprint, linkgraph, mail, plateau, retrieval
 from quillgraph.sources import readers, sinks
+from quillgraph.storage import cut
 
 
 def _asked(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +55,7 @@ def search(spark: SparkSession, a: argparse.Namespace) -> None:
 def duplicates(spark: SparkSession, a: argparse.Namespace) -> None:
     """Exact, near and plateau pairs in three folders of OUT."""
     d = readers.speeches(spark, a.folder).select(F.col("id").try_cast("bigint").alias("id"), T.clean_speech(F.col("text")).alias("text")).where("id is not null and text is not null")
-    d = linkgraph.cut(d.withColumn("words", T.tokens(F.col("text"))))
+    d = cut(d.withColumn("words", T.tokens(F.col("text"))))
     key = F.col("words") if a.exact else T.adler32(F.col("text")) if a.zlib else T.manual_checksum(F.col("text"))
     sinks.pair_file(dedup.exact_pairs(d, key, "id"), f"{a.out}/exact")
     for name, words in (("near", d.select("id", "words")), ("plateau", plateau.spans(d.select("id", "words")).select("id", F.col("plateau").alias("words")))):
@@ -63,18 +64,18 @@ def duplicates(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def links(spark: SparkSession, a: argparse.Namespace) -> None:
-    edges = linkgraph.cut(linkgraph.edges(readers.edge_list(spark, a.edges)))
+    edges = cut(linkgraph.edges(readers.edge_list(spark, a.edges)))
     linkgraph.stats(edges).show(truncate=False)
     sinks.score_file(linkgraph.pagerank(edges, iterations=a.iterations), f"{a.out}/pagerank")
-    both = linkgraph.cut(linkgraph.hits(edges, a.iterations))
+    both = cut(linkgraph.hits(edges, a.iterations))
     for column in ("hub", "authority"):
         sinks.score_file(both, f"{a.out}/{column}", column)
 
 
 def network(spark: SparkSession, a: argparse.Namespace) -> None:
     known = readers.aliases(spark, a.aliases)
-    messages = linkgraph.cut(linkgraph.rename(readers.edge_list(spark, a.edges), known))
-    edges = linkgraph.cut(linkgraph.edges(messages))
+    messages = cut(linkgraph.rename(readers.edge_list(spark, a.edges), known))
+    edges = cut(linkgraph.edges(messages))
     chosen = linkgraph.interesting(edges, linkgraph.pagerank(edges), a.n)
     kept = linkgraph.two_core(linkgraph.relations(edges, chosen, a.more_than))
     words = F.broadcast(readers.vocabulary(spark, a.vocabulary).agg(F.collect_set("word").alias("_words")))  # one row, the size of a dictionary
@@ -95,7 +96,7 @@ def crawl_pages(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.robots:
         found = robots.judge(found, spark.read.parquet(a.robots), a.agent).where("allowed")
     seeds = spark.createDataFrame([(s,) for s in a.seed], "page_id string")
-    crawl.expand(linkgraph.cut(found.select("src", F.col("url").alias("dst"))), seeds).write.mode("overwrite").parquet(a.out)
+    crawl.expand(cut(found.select("src", F.col("url").alias("dst"))), seeds).write.mode("overwrite").parquet(a.out)
 
 
 def parser() -> argparse.ArgumentParser:

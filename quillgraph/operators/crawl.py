@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import web
-from quillgraph.operators.linkgraph import cut
+from quillgraph.storage import cut
 
 BUCKET = 4096
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.fingerprint import differing_digits, hamming
+from quillgraph.storage import cut
 
 
 def exact_classes(df: DataFrame, key: Column, id_col: str) -> DataFrame:
@@ -62,7 +63,7 @@ def near_matches(prints: DataFrame, digits: int, distance: int, bands: bool = Tr
 
 def near_pairs(prints: DataFrame, digits: int = 32, distance: int = 4, bands: bool = True) -> DataFrame:
     """(id_a, id_b) of documents (id, print) whose fingerprints match. Empty fingerprints match nothing in bands, all in bits."""
-    prints = prints.select("id", "print").where("print is not null")
+    prints = cut(prints.select("id", "print")).where("print is not null")
     same = prints.where("print <> ''")
     equal = class_pairs(same.select("id", F.col("print").alias("class_id")))
     matched = near_matches(prints, digits, distance, bands)

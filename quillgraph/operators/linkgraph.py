@@ -7,20 +7,13 @@ time, so that plans stay short and a lost executor costs one iteration. Scalars
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAMPING, ITERATIONS = 0.8, 10
-
+from quillgraph.storage import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder of the session."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+DAMPING, ITERATIONS = 0.8, 10
 
 
 def rename(messages: DataFrame, aliases: DataFrame) -> DataFrame:

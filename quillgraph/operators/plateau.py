@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import is_number
+from quillgraph.storage import cut
 
 SLOPE = 100
 
@@ -37,7 +38,8 @@ def runs(words: DataFrame) -> DataFrame:
 
 def spans(words: DataFrame, slope: int = SLOPE) -> DataFrame:
     """(id, score, a, b, plateau) for texts whose plateau holds at least three numbers. ``words`` has id and an array of words."""
-    table = runs(words)
+    words = cut(words)
+    table = cut(runs(words))
     o = Window.partitionBy("id").orderBy("run")
     open_ = table.where(F.col("numbers") & (F.col("run") <= F.col("runs") - 2))
     left = F.struct((F.col("tags_before") - slope * F.col("numbers_through")).alias("gain"), (-F.col("run")).alias("a"))

@@ -7,21 +7,47 @@ term with any query are never touched. Ranks use scores rounded to nine places a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import counter_text, tokens
+from quillgraph.storage import cut
+
+
+#: Up to so many distinct terms (some 50 MB) are broadcast to pick out the postings that matter.
+MOST_TERMS = 1_000_000
 
 
 @dataclass
 class Corpus:
-    """postings (doc_id, term, tf, length), df (term, df), stats (n_docs, total_length, avg_length; one row)."""
+    """words (doc_id, length, term; one row a token), stats (n_docs, total_length, avg_length; one row)."""
 
-    postings: DataFrame
-    df: DataFrame
+    words: DataFrame
     stats: DataFrame
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        """(doc_id, term, length, tf)."""
+        return self.words.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+
+    @cached_property
+    def df(self) -> DataFrame:
+        """(term, df)."""
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    def about(self, terms: DataFrame) -> Corpus:
+        """The corpus with the postings of some terms only, written out once; its statistics stay those of all documents.
+
+        Other words are dropped where they are read, so that neither they nor their counts are ever shuffled.
+        """
+        terms = cut(terms.select("term").distinct())
+        few = F.broadcast(terms) if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS else terms
+        part = Corpus(self.words.join(few, "term", "left_semi"), self.stats)
+        part.__dict__["postings"] = cut(part.postings)
+        return part
+
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf)."""
@@ -32,16 +58,14 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Corpus:
     # The length is known before words are exploded: no second aggregation by document.
     sized = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words")).withColumn("length", F.size("words").cast("long"))
-    words = sized.select("doc_id", "length", F.explode("words").alias("term"))
-    postings = words.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.sum("length").alias("total_length")).withColumn("avg_length", F.col("total_length") / F.col("n_docs"))
-    return Corpus(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+    return Corpus(sized.select("doc_id", "length", F.explode("words").alias("term")), stats)
 
 
 def overlap(queries: DataFrame, docs: Corpus) -> DataFrame:
     """Distinct query words that a document holds; queries are (query_id, term, tf)."""
     q = queries.select("query_id", "term").distinct()
-    return docs.postings.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+    return docs.about(q).postings.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
 
 
 def weight(tf: Column, length: Column, df: Column, n: Column, average: Column, k: Column) -> Column:
@@ -51,6 +75,8 @@ def weight(tf: Column, length: Column, df: Column, n: Column, average: Column, k
 def tfidf(queries: DataFrame, docs: Corpus, k: float | Column = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Sums of query weight times tf.idf for each query and document, and for each value of the columns ``by`` of the queries."""
     k = F.lit(k) if isinstance(k, float) else k
+    queries = cut(queries)
+    docs = docs.about(queries)
     rows = docs.postings.join(queries, "term").join(docs.df, "term").crossJoin(F.broadcast(docs.stats))  # one row of statistics
     w = weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), k)
     return rows.groupBy(*by, "query_id", "doc_id").agg(F.sum(F.col("weight") * w).alias("score"))
@@ -68,17 +94,19 @@ def expansion_terms(queries: DataFrame, docs: Corpus, grid: DataFrame) -> DataFr
     ``grid`` has run, k, n_d and n_w. Words that the corpus lacks are dropped.
     """
     ks = grid.select("k").distinct()
+    queries = cut(queries)
     first = tfidf(queries.withColumnRenamed("tf", "weight").crossJoin(F.broadcast(ks)), docs, F.col("k"), ("k",))
     # Ranks are taken once for each k, then every run of the grid keeps its own number of documents.
     w = Window.partitionBy("k", "query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     most = grid.agg(F.max("n_d")).first()[0]
     best = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    picked = best.join(F.broadcast(grid), "k").where("rank <= n_d").select("run", "k", "n_w", "query_id", "doc_id")
-    theirs = picked.join(docs.postings, "doc_id").select("run", "k", "n_w", "query_id", "term", "tf")
+    picked = cut(best.join(F.broadcast(grid), "k").where("rank <= n_d").select("run", "k", "n_w", "query_id", "doc_id"))  # a grid is small
+    mine = Corpus(docs.words.join(picked.select("doc_id").distinct(), "doc_id", "left_semi"), docs.stats)
+    theirs = picked.join(mine.postings, "doc_id").select("run", "k", "n_w", "query_id", "term", "tf")
     asked = picked.select("run", "k", "n_w", "query_id").distinct().join(queries, "query_id").select("run", "k", "n_w", "query_id", "term", "tf")
     mega = asked.unionByName(theirs).groupBy("run", "k", "n_w", "query_id", "term").agg(F.sum("tf").alias("tf"))
-    mega = mega.withColumn("length", F.sum("tf").over(Window.partitionBy("run", "query_id")))
-    scored = mega.join(docs.df, "term").crossJoin(F.broadcast(docs.stats))
+    mega = cut(mega.withColumn("length", F.sum("tf").over(Window.partitionBy("run", "query_id"))))
+    scored = mega.join(docs.about(mega).df, "term").crossJoin(F.broadcast(docs.stats))
     score = weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), F.col("k"))
     kept = top(scored.withColumn("score", score), F.col("n_w"), ("run",), "term")
     return kept.select("run", "k", "query_id", "term", F.col("score").alias("weight"))

@@ -9,6 +9,7 @@ from quillgraph.functions import text as T
 from quillgraph.operators import linkgraph, mail
 from quillgraph.plans import tables
 from quillgraph.plans.retrieval_queries import WORDS
+from quillgraph.storage import cut
 
 MESSAGES = """
 messages AS (SELECT l_orderkey AS msg_id, o_custkey AS src, l_partkey AS dst, l_shipdate AS day, l_orderkey, l_linenumber, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -111,7 +112,7 @@ def hits_auth_top10(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def interesting_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    e = linkgraph.cut(_edges(spark, sf))
+    e = cut(_edges(spark, sf))
     return linkgraph.interesting(e, linkgraph.pagerank(e))
 
 
@@ -120,7 +121,7 @@ def relations_2core(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
-    m = tables.messages(spark, sf)
+    m = cut(tables.messages(spark, sf).select("msg_id", "src", "dst"))
     subject = F.concat(F.lit("Re: "), "o_orderpriority", F.lit(" "), "o_orderstatus", F.lit(" order"))
     subjects = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("msg_id"), T.subject_terms(subject).alias("terms"))
     return mail.labels(linkgraph.relations(linkgraph.edges(m), more_than=1), linkgraph.message_ids(m), subjects)
