@@ -56,7 +56,7 @@ def duplicates(spark: SparkSession, a: argparse.Namespace) -> None:
     """Exact, near and plateau pairs in three folders of OUT."""
     d = readers.speeches(spark, a.folder).select(F.col("id").try_cast("bigint").alias("id"), T.clean_speech(F.col("text")).alias("text")).where("id is not null and text is not null")
     d = cut(d.withColumn("words", T.tokens(F.col("text"))))
-    key = F.col("words") if a.exact else T.adler32(F.col("text")) if a.zlib else T.manual_checksum(F.col("text"))
+    key = dedup.same_words(F.col("words")) if a.exact else T.adler32(F.col("text")) if a.zlib else T.manual_checksum(F.col("text"))
     sinks.pair_file(dedup.exact_pairs(d, key, "id"), f"{a.out}/exact")
     for name, words in (("near", d.select("id", "words")), ("plateau", plateau.spans(d.select("id", "words")).select("id", F.col("plateau").alias("words")))):
         prints = words.select("id", fingerprint.simhash(F.col("words"), a.bits).alias("print"))

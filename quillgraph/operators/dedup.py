@@ -16,13 +16,19 @@ from quillgraph.storage import cut
 
 def exact_classes(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     """(id, class_id): the smallest id with the same key. One row a document however large a group is."""
-    keyed = df.select(F.col(id_col).alias("id"), key.alias("_key")).where("_key is not null")
+    keyed = cut(df.select(F.col(id_col).alias("id"), key.alias("_key"))).where("_key is not null")
     least = keyed.groupBy("_key").agg(F.min("id").alias("class_id"), F.count("*").alias("_n")).where("_n > 1")
     return keyed.join(least, "_key").select("id", "class_id")
 
 
+def same_words(words: Column) -> Column:
+    """A key that is equal where the words are: they hold no space, and the digest is short to shuffle."""
+    return F.sha2(F.array_join(words, " ").cast("binary"), 256)
+
+
 def class_pairs(classes: DataFrame) -> DataFrame:
     """All pairs (id_a < id_b) within classes, as the pair files list them."""
+    classes = cut(classes)
     a, b = classes.select(F.col("id").alias("id_a"), "class_id"), classes.select(F.col("id").alias("id_b"), "class_id")
     return a.join(b, "class_id").where("id_a < id_b").select("id_a", "id_b")
 

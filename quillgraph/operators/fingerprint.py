@@ -15,17 +15,18 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import STOPWORDS, power_of_two
 
-#: Sign vectors kept by a worker, so that a frequent word is hashed once.
-CACHED = 100_000
+#: Words whose bits are summed at once.
+CHUNK = 1 << 15
 
 
-def signs(word: str, bits: int, textbook: bool) -> np.ndarray:
-    """+1, -1 or 0 for each of the leading ``bits`` bits of a word's MD5; beyond 128 bits, zeros stand in front."""
-    h = np.unpackbits(np.frombuffer(md5(word.encode("utf-8", "surrogatepass")).digest(), np.uint8))[:bits].astype(np.int32)
+def signs(words: list[str], bits: int, textbook: bool) -> np.ndarray:
+    """+1, -1 or 0 for each of the leading ``bits`` bits of each word's MD5; beyond 128 bits, zeros stand in front."""
+    h = np.frombuffer(b"".join(md5(w.encode("utf-8", "surrogatepass")).digest() for w in words), np.uint8)
+    h = np.unpackbits(h.reshape(-1, 16), axis=1)[:, :bits].astype(np.int8)
     out = 2 * h - 1
     if not textbook:
-        out[: int(h.argmax()) if h.any() else len(h)] = 0
-    return np.concatenate((np.zeros(max(0, bits - 128), np.int32), out))
+        out *= np.maximum.accumulate(h, axis=1)
+    return np.concatenate((np.zeros((len(words), max(0, bits - 128)), np.int8), out), axis=1)
 
 
 def simhash(words: Column, bits: int = 128, stop: tuple[str, ...] = STOPWORDS, textbook: bool = False) -> Column:
@@ -36,24 +37,17 @@ def simhash(words: Column, bits: int = 128, stop: tuple[str, ...] = STOPWORDS, t
 
     @F.pandas_udf("string")
     def of(column: pd.Series) -> pd.Series:
-        cache: dict[str, np.ndarray] = {}
         out = []
         for ws in column:
             if ws is None:
                 out.append(None)
                 continue
-            total, any_ = np.zeros(bits, np.int64), False
-            for w, n in Counter(ws).items():
-                if w in skip:
-                    continue
-                v = cache.get(w)
-                if v is None:
-                    if len(cache) >= CACHED:
-                        cache.clear()
-                    v = cache[w] = signs(w, bits, textbook)
-                total += n * v
-                any_ = True
-            out.append(np.packbits(total > 0).tobytes().hex()[: bits // 4] if any_ else "")
+            counted = [(w, n) for w, n in Counter(ws).items() if w not in skip]
+            total = np.zeros(bits)
+            for at in range(0, len(counted), CHUNK):
+                names, counts = zip(*counted[at : at + CHUNK], strict=True)
+                total += np.array(counts, float) @ signs(names, bits, textbook)
+            out.append(np.packbits(total > 0).tobytes().hex()[: bits // 4] if counted else "")
         return pd.Series(out, dtype=object)
 
     return of(words)

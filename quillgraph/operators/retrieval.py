@@ -16,17 +16,22 @@ from quillgraph.functions.text import counter_text, tokens
 from quillgraph.storage import cut
 
 
-#: Up to so many distinct terms (some 50 MB) are broadcast to pick out the postings that matter.
-MOST_TERMS = 1_000_000
+#: Up to so many distinct terms or ids (some 50 MB) are broadcast to pick out the postings that matter.
+MOST_BROADCAST = 1_000_000
 
 
 @dataclass
 class Corpus:
-    """words (doc_id, length, term; one row a token), stats (n_docs, total_length, avg_length; one row)."""
+    """sized (doc_id, words, length; one row a document), stats (n_docs, total_length, avg_length; one row)."""
 
-    words: DataFrame
+    sized: DataFrame
     stats: DataFrame
 
+    @cached_property
+    def words(self) -> DataFrame:
+        """(doc_id, length, term), one row a token."""
+        return self.sized.select("doc_id", "length", F.explode("words").alias("term"))
+
     @cached_property
     def postings(self) -> DataFrame:
         """(doc_id, term, length, tf)."""
@@ -34,20 +39,36 @@ class Corpus:
 
     @cached_property
     def df(self) -> DataFrame:
-        """(term, df)."""
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        """(term, df), counted from each document's distinct words: summed before anything is shuffled."""
+        return self.df_of()
+
+    def df_of(self, terms: DataFrame | None = None) -> DataFrame:
+        each = self.sized.select(F.explode(F.array_distinct("words")).alias("term"))
+        if terms is not None:
+            each = each.join(_small(terms.select("term").distinct()), "term", "left_semi")
+        return each.groupBy("term").agg(F.count("*").alias("df"))
 
     def about(self, terms: DataFrame) -> Corpus:
         """The corpus with the postings of some terms only, written out once; its statistics stay those of all documents.
 
         Other words are dropped where they are read, so that neither they nor their counts are ever shuffled.
         """
-        terms = cut(terms.select("term").distinct())
-        few = F.broadcast(terms) if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS else terms
-        part = Corpus(self.words.join(few, "term", "left_semi"), self.stats)
+        part = Corpus(self.sized, self.stats)
+        part.__dict__["words"] = self.words.join(_small(terms.select("term").distinct()), "term", "left_semi")
         part.__dict__["postings"] = cut(part.postings)
+        part.__dict__["df"] = part.postings.groupBy("term").agg(F.count("*").alias("df"))
         return part
 
+    def only(self, ids: DataFrame) -> Corpus:
+        """The documents with some ids; its statistics stay those of all documents."""
+        return Corpus(self.sized.join(_small(ids.select("doc_id").distinct()), "doc_id", "left_semi"), self.stats)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Written out, and marked for broadcast if it has few enough rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf)."""
@@ -59,7 +80,7 @@ def corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> C
     # The length is known before words are exploded: no second aggregation by document.
     sized = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words")).withColumn("length", F.size("words").cast("long"))
     stats = sized.agg(F.count("*").alias("n_docs"), F.sum("length").alias("total_length")).withColumn("avg_length", F.col("total_length") / F.col("n_docs"))
-    return Corpus(sized.select("doc_id", "length", F.explode("words").alias("term")), stats)
+    return Corpus(sized, stats)
 
 
 def overlap(queries: DataFrame, docs: Corpus) -> DataFrame:
@@ -101,12 +122,11 @@ def expansion_terms(queries: DataFrame, docs: Corpus, grid: DataFrame) -> DataFr
     most = grid.agg(F.max("n_d")).first()[0]
     best = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     picked = cut(best.join(F.broadcast(grid), "k").where("rank <= n_d").select("run", "k", "n_w", "query_id", "doc_id"))  # a grid is small
-    mine = Corpus(docs.words.join(picked.select("doc_id").distinct(), "doc_id", "left_semi"), docs.stats)
-    theirs = picked.join(mine.postings, "doc_id").select("run", "k", "n_w", "query_id", "term", "tf")
+    theirs = picked.join(docs.only(picked).postings, "doc_id").select("run", "k", "n_w", "query_id", "term", "tf")
     asked = picked.select("run", "k", "n_w", "query_id").distinct().join(queries, "query_id").select("run", "k", "n_w", "query_id", "term", "tf")
     mega = asked.unionByName(theirs).groupBy("run", "k", "n_w", "query_id", "term").agg(F.sum("tf").alias("tf"))
     mega = cut(mega.withColumn("length", F.sum("tf").over(Window.partitionBy("run", "query_id"))))
-    scored = mega.join(docs.about(mega).df, "term").crossJoin(F.broadcast(docs.stats))
+    scored = mega.join(docs.df_of(mega), "term").crossJoin(F.broadcast(docs.stats))
     score = weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), F.col("k"))
     kept = top(scored.withColumn("score", score), F.col("n_w"), ("run",), "term")
     return kept.select("run", "k", "query_id", "term", F.col("score").alias("weight"))

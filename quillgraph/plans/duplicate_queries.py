@@ -111,11 +111,11 @@ def exact_dups_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_dups_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.exact_pairs(_speeches(spark, sf), F.col("words"), "id")
+    return dedup.exact_pairs(_speeches(spark, sf), dedup.same_words(F.col("words")), "id")
 
 
 def exact_dup_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.exact_classes(_speeches(spark, sf), F.col("words"), "id")
+    return dedup.exact_classes(_speeches(spark, sf), dedup.same_words(F.col("words")), "id")
 
 
 def numeric_predicate(spark: SparkSession, sf: str) -> DataFrame:
