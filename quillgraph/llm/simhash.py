@@ -8,7 +8,12 @@ blocks; two fingerprints within the radius agree on some m-radius of them, so ea
 chosen bits, and no link is lost. m grows with the number of fingerprints, which keeps keys selective. A key's fingerprints are
 sorted by Gray rank and indexed as a tree: a node holds the bits its members agree on that its parent does not hold yet, so that
 differences add up on the way down, and a whole group is left once they exceed the radius or all of it is linked with the query
-already. Only a spanning forest of a key's links is passed on, never all pairs. Keys of more than ``CELL`` fingerprints, as
+already. Only a spanning forest of a key's links is passed on, never all pairs.
+
+With several lanes, fingerprints are linked that differ in at most ``most`` bits of all lanes. Two of them differ in at most their
+share of these bits in some lane, and again in some chunk of that lane, whose bits are cut into blocks as above: so no such link is
+lost either, whatever the number of fingerprints, which only decides into how many chunks and blocks a lane is cut. Keys are
+compared pair by pair over the table's own lane, in tiles; tiles within one group are left out. Keys of more than ``CELL`` fingerprints, as
 estimated from a sample of fingerprints (which steers the splitting only), are dealt out as pairs of shards.
 
 Components: alternating large and small stars over the links, each round in the shared checkpoint folder.
@@ -42,6 +47,10 @@ SMALL = 128
 HOT = 1000
 #: Rows to gather before small keys are compared, all at once.
 BUFFER = 1 << 16
+#: With several lanes: what a row of a table costs in comparisons; keys from so many fingerprints on are compared in tiles of ROWS x COLUMNS.
+ROW, TILED, ROWS, COLUMNS = 1000, 64, 64, 1024
+#: Neighbours in Gray order that are compared before the tiles, so that large groups of near copies are one group early.
+AHEAD = 8
 CHUNK = 1 << 15
 #: One in so many fingerprints is looked at to find hot keys.
 SAMPLE = 16
@@ -94,6 +103,39 @@ def key_masks(radius: int, n: int, bits: int = 64) -> list[int]:
     return [sum(x) for x in combinations(block, m - radius)]
 
 
+def shares(radius: int, parts: int) -> list[int]:
+    """Radii of the parts: what differs in at most ``radius`` bits differs in at most its radius in some part."""
+    return [(radius + 1) // parts - 1 + (i < (radius + 1) % parts) for i in range(parts)]
+
+
+def covering_masks(radius: int, n: int, bits: int = 64) -> list[int]:
+    """Masks as those of ``key_masks``, for a larger radius: the bits are cut into chunks that share it, and each chunk into blocks."""
+    best: tuple[float, list[int]] | None = None
+    for chunks in range(1, min(radius + 1, bits) + 1):
+        edge = [round(i * bits / chunks) for i in range(chunks + 1)]
+        cost, masks = 0.0, []
+        for r, low, high in zip(shares(radius, chunks), edge[:-1], edge[1:], strict=True):
+            w = high - low
+            fits = [(math.comb(m, r) * (ROW + n / 2 ** (w * (m - r) / m + 1)), m) for m in range(r + 1, w + 1) if math.comb(m, r) <= 2000]
+            if not fits:
+                break
+            c, m = min(fits)
+            at = [low + round(i * w / m) for i in range(m + 1)]
+            cost += c
+            masks += [sum(x) for x in combinations([((1 << at[i + 1]) - 1) ^ ((1 << at[i]) - 1) for i in range(m)], m - r)]
+        else:
+            if best is None or cost < best[0]:
+                best = cost, masks
+    return best[1] if best else [0]
+
+
+def tables(radius: int, n: int, lanes: int, most: int) -> list[tuple[int, int, int]]:
+    """(lane, mask, reach): linked fingerprints agree under some table's mask and differ in at most its reach within its lane."""
+    if lanes == 1:
+        return [(0, m, radius) for m in key_masks(radius, n)]
+    return [(i, m, r) for i, r in enumerate(shares(most, lanes)) if r >= 0 for m in covering_masks(r, n)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -116,7 +158,7 @@ def roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None)
 
 
 class Links:
-    """Which of two fingerprints are linked: the first lane within ``reach``, all lanes together within ``most``."""
+    """Which of two fingerprints are linked: a lane within ``reach`` (the first, if no other is given), all lanes within ``most``."""
 
     def __init__(self, reach: int, most: int) -> None:
         self.reach, self.most = reach, most
@@ -126,21 +168,48 @@ class Links:
             return np.ones(len(a), bool)
         return sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int32) for x in lanes) <= self.most
 
-    def small(self, lanes: np.ndarray, run: np.ndarray) -> np.ndarray:
-        """Roots where runs of equal ``run`` are short: every pair of a run is compared, at one distance after the other."""
-        x, n = lanes[0], len(run)
+    def small(self, lanes: np.ndarray, run: np.ndarray, own: np.ndarray | None = None, reach: np.ndarray | None = None, lags: int | None = None) -> np.ndarray:
+        """Roots where runs of equal ``run`` are short: every pair of a run is compared, at one distance (of ``lags``) after the other."""
+        x, n = lanes[0] if own is None else own, len(run)
+        reach = np.full(n, self.reach) if reach is None else reach
         label = np.arange(n)
         live = np.arange(n)
-        for lag in range(1, n):
+        for lag in range(1, n if lags is None else min(n, lags + 1)):
             live = live[live + lag < n]
             live = live[run[live] == run[live + lag]]
             if not len(live):
                 break
-            a = live[np.bitwise_count(x[live] ^ x[live + lag]) <= self.reach]
+            a = live[np.bitwise_count(x[live] ^ x[live + lag]) <= reach[live]]
             a = a[self.close(lanes, a, a + lag)]
             label = roots(n, a, a + lag, label)
         return label
 
+    def tiled(self, lanes: np.ndarray, own: np.ndarray, reach: int) -> np.ndarray:
+        """Roots within one key: every pair that is not in one group already is compared."""
+        n = len(own)
+        label = self.small(lanes, np.zeros(n, np.int8), own, np.full(n, reach), AHEAD)
+        order = np.argsort(label, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        own, lanes, label = own[order], lanes[:, order], place[label[order]]
+        for i in range(0, n, ROWS):
+            for j in range(i, n, COLUMNS):
+                left, right = label[i : i + ROWS], label[j : j + COLUMNS]
+                if left[0] == right[0] and (left == left[0]).all() and (right == right[0]).all():
+                    continue
+                hit = np.flatnonzero(np.bitwise_count(own[i : i + ROWS, None] ^ own[None, j : j + COLUMNS]) <= reach)
+                if not len(hit):
+                    continue
+                a, b = i + hit // len(right), j + hit % len(right)
+                new = (a < b) & (label[a] != label[b])
+                a, b = a[new], b[new]
+                good = self.close(lanes, a, b)
+                if good.any():
+                    label = roots(n, a[good], b[good], label)
+        out = np.empty(n, np.int64)
+        out[order] = order[label]
+        return out
+
     def tree(self, lanes: np.ndarray) -> np.ndarray:
         """Roots within one key, by descending the tree over fingerprints in Gray order."""
         x = lanes[0]
@@ -178,70 +247,76 @@ class Links:
         return label
 
 
-def _forest(links: Links, lanes: int, masks: list[int]):
-    mask_of = np.array(masks, np.int64)
+def _forest(links: Links, lanes: int, found: list[tuple[int, int, int]], node: str):
+    lane_of = np.array([t[0] for t in found])
+    mask_of = np.array([_signed(t[1]) for t in found], np.int64)
+    reach_of = np.array([t[2] for t in found])
+    most = SMALL if lanes == 1 else TILED
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solve(run: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    def solve(run: np.ndarray, table: np.ndarray, x: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
         size = np.diff(np.append(first, len(run)))
         label = np.arange(len(run))
-        short = np.repeat(size <= SMALL, size)
+        own, reach = x[lane_of[table], np.arange(len(run))], reach_of[table]
+        short = np.repeat(size <= most, size)
         if short.any():
             at = np.flatnonzero(short)
-            label[at] = at[links.small(x[:, at], run[at])]
-        for f, s in zip(first[size > SMALL], size[size > SMALL], strict=True):
-            label[f : f + s] = f + links.tree(x[:, f : f + s])
+            label[at] = at[links.small(x[:, at], run[at], own[at], reach[at])]
+        for f, s in zip(first[size > most], size[size > most], strict=True):
+            key = x[:, f : f + s]
+            label[f : f + s] = f + (links.tree(key) if lanes == 1 else links.tiled(key, own[f : f + s], reach[f]))
         far = np.flatnonzero(label != np.arange(len(run)))
-        keys = x[0].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys[far]), pa.array(keys[label[far]])], schema=out)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], schema=out)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come sorted by key; whole keys are taken from the buffer once it is full."""
         held: list[pa.RecordBatch] = []
         rows = 0
 
-        def arrays() -> tuple[np.ndarray, np.ndarray]:
+        def arrays() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             t = pa.Table.from_batches(held)
             table = t["t"].to_numpy()
-            key = np.stack([table, t["x0"].to_numpy() & mask_of[table], *((t["cell"].to_numpy(),) if "cell" in t.schema.names else ())])
+            x = np.stack([t[f"x{i}"].to_numpy() for i in range(lanes)])
+            key = np.stack([table, x[lane_of[table], np.arange(len(table))] & mask_of[table], *((t["cell"].to_numpy(),) if "cell" in t.schema.names else ())])
             run = np.concatenate(([0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))))
-            return run, np.stack([np.ascontiguousarray(t[f"x{i}"].to_numpy()).view(np.uint64) for i in range(lanes)])
+            return run, table, x.view(np.uint64), t[node].to_numpy()
 
         for batch in batches:
             held.append(batch)
             rows += len(batch)
             if rows < BUFFER:
                 continue
-            run, x = arrays()
+            run, table, x, nodes = arrays()
             done = int(np.searchsorted(run, run[-1]))
             if not done:
                 rows = min(rows, BUFFER - 1) if len(batch) == 0 else rows
                 continue
-            yield solve(run[:done], x[:, :done])
-            table = pa.Table.from_batches(held).slice(done).combine_chunks()
-            held, rows = table.to_batches(), table.num_rows
+            yield solve(run[:done], table[:done], x[:, :done], nodes[:done])
+            rest = pa.Table.from_batches(held).slice(done).combine_chunks()
+            held, rows = rest.to_batches(), rest.num_rows
         if rows:
-            run, x = arrays()
-            yield solve(run, x)
+            yield solve(*arrays())
 
     return search
 
 
-def forest(distinct: DataFrame, radius: int, lanes: int = 1, most: int = 64, cell: int = CELL, reach: int | None = None) -> DataFrame:
-    """Edges (a, b) that connect whatever is linked among the distinct fingerprints x0, x1, ...
+def forest(distinct: DataFrame, radius: int, lanes: int = 1, most: int = 64, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) that connect whatever is linked among the distinct fingerprints x0, x1, ...; a and b are of ``node``, or x0 without it.
 
-    Two fingerprints are linked if their first lanes differ in at most ``radius`` bits and all lanes together in at most ``most``.
-    With a larger ``reach``, those that share a key are linked up to that many bits of the first lane too.
+    Two fingerprints of one lane are linked if they differ in at most ``radius`` bits, those of several if in at most ``most`` of all.
     """
     spark = distinct.sparkSession
     n = distinct.count()
-    masks = [_signed(m) for m in key_masks(radius, n)]
+    found = tables(radius, n, lanes, most)
     x = [f"x{i}" for i in range(lanes)]
+    node = "node" if "node" in distinct.columns else "x0"
+    kept = x if node == "x0" else [*x, node]
 
     # The key follows from table and fingerprint, so it is not shuffled.
-    key = F.col("x0").bitwiseAND(F.get(F.array(*map(F.lit, masks)), F.col("t"))).alias("key")
-    rows = distinct.select(*x, F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"))
+    own = F.get(F.array(*x), F.get(F.array(*(F.lit(t[0]) for t in found)), F.col("t"))) if lanes > 1 else F.col("x0")
+    key = own.bitwiseAND(F.get(F.array(*(F.lit(_signed(t[1])) for t in found)), F.col("t"))).alias("key")
+    rows = distinct.select(*kept, F.explode(F.sequence(F.lit(0), F.lit(len(found) - 1))).alias("t"))
     by = ["t", key]
     hot = []
     if n > cell:
@@ -253,12 +328,10 @@ def forest(distinct: DataFrame, radius: int, lanes: int = 1, most: int = 64, cel
         mine = F.pmod(F.xxhash64(F.lit(7), "x0"), F.col("shards")).cast("int")
         cells = F.transform(F.sequence(F.lit(0), F.col("shards") - 1), lambda o: F.least(o, F.col("mine")) * F.col("shards") + F.greatest(o, F.col("mine")))
         rows = rows.withColumn("key", key).join(shards, ["t", "key"], "left").withColumn("mine", mine)
-        rows = rows.withColumn("cell", F.explode(F.coalesce(cells, F.array(F.lit(0))))).select("t", *x, "cell")
+        rows = rows.withColumn("cell", F.explode(F.coalesce(cells, F.array(F.lit(0))))).select("t", *kept, "cell")
         by.append("cell")
-    dealt = rows.repartition(*by).sortWithinPartitions(*by, gray_rank(F.col("x0")))
-    links = Links(radius if reach is None else max(radius, reach), most)
-    found = dealt.mapInArrow(_forest(links, lanes, masks), "a bigint, b bigint")
-    return found.distinct()
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, gray_rank(own))
+    return dealt.mapInArrow(_forest(Links(radius, most), lanes, found, node), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -279,14 +352,14 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, lanes: int = 1, most: int = 64, cell: int = CELL, reach: int | None = None) -> DataFrame:
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, lanes: int = 1, most: int = 64, cell: int = CELL) -> DataFrame:
     """doc_id, fingerprint in hexadecimal digits, and component_id, the smallest id reachable over links."""
     d = only(docs, id_col, text_col).toDF("doc_id", "text")
     d = d.select("doc_id", fingerprints(F.col("text"), shingle, lanes).alias("x"))
     d = cut(d.select("doc_id", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(lanes))))
     distinct = d.groupBy("x0").agg(*(F.min(f"x{i}").alias(f"x{i}") for i in range(1, lanes)), F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
     distinct = cut(distinct)
-    root = components(forest(distinct, radius, lanes, most, cell, reach))
+    root = components(forest(distinct, radius, lanes, most, cell))
     linked = distinct.select("x0", "least_id").join(root, F.col("x0") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = linked.join(least, "root").select(F.col("node"), "component_id")
@@ -300,14 +373,13 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     return both.select("doc_id", F.lower(F.lpad(F.hex("x0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 8, lanes: int = 4, most: int = 40, reach: int = 14) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 4, most: int = 40) -> DataFrame:
     """``docs`` with the document of the smallest id of each component. Rows of one id count as one document; rows without stay.
 
     Defaults: five words; a pair is linked if its fingerprints differ in at most 40 of 256 bits (of two sets of shingles that share
-    0.8 of their union, 0.15 of the bits differ on average) and the first 64 in at most 8. Pairs that differ in 9 to 14 of the
-    first 64 bits are linked as well where they share a key, which most do; only those within 8 are certain to.
+    0.8 of their union, 0.15 of the bits differ on average). Every such pair is found, whatever the size of the table.
     """
-    found = cut(group(docs, id_col, text_col, shingle, radius, lanes, most, reach=reach).select("doc_id", "component_id"))
+    found = cut(group(docs, id_col, text_col, shingle, lanes=lanes, most=most).select("doc_id", "component_id"))
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop"))
     mine = F.col(f"_row.`{id_col}`")

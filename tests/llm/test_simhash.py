@@ -90,6 +90,37 @@ def test_key_masks_miss_no_pair_within_the_radius():
             assert any(not diff & m for m in masks)
 
 
+@pytest.mark.parametrize("n", [1000, 10**5, 10**7, 10**9])
+def test_tables_miss_no_pair_of_several_lanes(n):
+    rng = random.Random(n)
+    tables = simhash.tables(4, n, 4, 40)
+    for _ in range(300):
+        flip = rng.sample(range(256), 40)
+        diff = [sum(1 << b % 64 for b in flip if b // 64 == i) for i in range(4)]
+        assert any(not diff[i] & mask and diff[i].bit_count() <= reach for i, mask, reach in tables)
+
+
+def test_forest_of_lanes_links_every_pair_within_most(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 1 << 63, (4, 1400), dtype=np.uint64)
+    pairs = list(zip(range(0, 400, 2), range(1, 400, 2), strict=True))
+    for k, (a, b) in enumerate(pairs):  # 36 to 43 bits, anywhere or all but a few in the first lane
+        at = np.concatenate([rng.permutation(64)[:34], 64 + rng.permutation(192)]) if k % 4 == 0 else rng.permutation(256)
+        x[:, b] = x[:, a]
+        for f in at[: 36 + k % 8]:
+            x[f // 64, b] ^= np.uint64(1) << np.uint64(f % 64)
+    x[:, 400:1000] = x[:, [399]]
+    for _ in range(6):
+        x[rng.integers(0, 4, 600), np.arange(400, 1000)] ^= np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64)
+    rows = [(i, *(simhash._signed(int(v)) for v in x[:, i])) for i in range(1400)]
+    df = spark.createDataFrame(rows, "node bigint, x0 bigint, x1 bigint, x2 bigint, x3 bigint")
+    root = {r.node: r.root for r in simhash.components(simhash.forest(df, 4, 4, 40)).collect()}
+    for cell in (None, 300):
+        got = root if cell is None else {r.node: r.root for r in simhash.components(simhash.forest(df, 4, 4, 40, cell)).collect()}
+        fps = {i: sum(int(v) << 64 * k for k, v in enumerate(x[:, i])) for i in range(1400)}
+        assert {i: got.get(i, i) for i in fps} == slow_groups(fps, 40)
+
+
 def test_tree_and_small_runs_agree():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 4, 700, dtype=np.uint64) << np.uint64(9)
