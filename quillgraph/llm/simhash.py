@@ -357,18 +357,20 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     d = only(docs, id_col, text_col).toDF("doc_id", "text")
     d = d.select("doc_id", fingerprints(F.col("text"), shingle, lanes).alias("x"))
     d = cut(d.select("doc_id", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(lanes))))
-    distinct = d.groupBy("x0").agg(*(F.min(f"x{i}").alias(f"x{i}") for i in range(1, lanes)), F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
-    distinct = cut(distinct)
+    x = [f"x{i}" for i in range(lanes)]
+    distinct = d.groupBy(*x).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+    # Numbers are only names of fingerprints of several lanes; no result depends on them.
+    distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id() if lanes > 1 else F.col("x0")))
     root = components(forest(distinct, radius, lanes, most, cell))
-    linked = distinct.select("x0", "least_id").join(root, F.col("x0") == F.col("node"))
+    linked = distinct.select("node", "least_id").join(root, "node")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = linked.join(least, "root").select(F.col("node"), "component_id")
-    named = distinct.join(linked, F.col("x0") == F.col("node"), "left").select("x0", "n", F.coalesce("component_id", "least_id").alias("component_id"))
+    linked = linked.join(least, "root").select("node", "component_id")
+    named = distinct.join(linked, "node", "left").select(*x, "n", F.coalesce("component_id", "least_id").alias("component_id"))
     # Fingerprints of more than one in HOT rows, of which there are fewer than HOT, meet their rows by broadcast, the others by key.
     rows = distinct.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") > max(HOT, rows // HOT)
     hot = F.broadcast(cut(named.where(often)))
-    parts = d.join(hot, "x0"), d.join(hot.select("x0"), "x0", "left_anti").join(named.where(~often), "x0")
+    parts = d.join(hot, x), d.join(hot.select(*x), x, "left_anti").join(named.where(~often), x)
     both = parts[0].unionByName(parts[1])
     return both.select("doc_id", F.lower(F.lpad(F.hex("x0"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -152,6 +152,17 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id or 0, r.root) for r in out.collect()) == [(0, 5), (1, 2), (4, 4), (8, 7)]
 
 
+def test_rows_of_one_first_lane_are_compared_over_all_lanes(spark, monkeypatch):
+    x0, far = 5, (1 << 60) - 1
+    lanes = {"a": (x0, 0, 0, 0), "b": (x0, far, far, 0), "c": (x0, 0, 0, (1 << 41) - 1), "d": (x0, 0, 0, (1 << 20) - 1), "e": (x0, far, far, 1)}
+    monkeypatch.setattr(simhash, "fingerprints", lambda text, *_: F.coalesce(*(F.when(text == k, F.array(*map(F.lit, v)).cast("array<bigint>")) for k, v in lanes.items())))
+    df = spark.createDataFrame(list(enumerate("abcdea")), SCHEMA)
+    got = {r.doc_id: r.component_id for r in simhash.group(df, lanes=4, most=40).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1, 5: 0}
+    got = {r.doc_id: r.component_id for r in simhash.group(df.where("text <> 'd'"), lanes=4, most=40).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 4: 1, 5: 0}
+
+
 def test_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.group(empty).collect() == [] and simhash.dedup(empty).collect() == []
