@@ -352,41 +352,55 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, lanes: int = 1, most: int = 64, cell: int = CELL) -> DataFrame:
-    """doc_id, fingerprint in hexadecimal digits, and component_id, the smallest id reachable over links."""
-    d = only(docs, id_col, text_col).toDF("doc_id", "text")
-    d = d.select("doc_id", fingerprints(F.col("text"), shingle, lanes).alias("x"))
-    d = cut(d.select("doc_id", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(lanes))))
+def _placed(d: DataFrame, marks: tuple[str, ...], radius: int, lanes: int, most: int, cell: int) -> DataFrame:
+    """The rows of ``d``, which has fingerprints x0, x1, ..., with the least value of each mark in the row's component as least_<mark>."""
     x = [f"x{i}" for i in range(lanes)]
-    distinct = d.groupBy(*x).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
+    distinct = d.groupBy(*x).agg(*(F.min(m).alias(f"own_{m}") for m in marks), F.count("*").alias("n"))
     # Numbers are only names of fingerprints of several lanes; no result depends on them.
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id() if lanes > 1 else F.col("x0")))
     root = components(forest(distinct, radius, lanes, most, cell))
-    linked = distinct.select("node", "least_id").join(root, "node")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = linked.join(least, "root").select("node", "component_id")
-    named = distinct.join(linked, "node", "left").select(*x, "n", F.coalesce("component_id", "least_id").alias("component_id"))
+    linked = distinct.join(root, "node")
+    least = linked.groupBy("root").agg(*(F.min(f"own_{m}").alias(f"least_{m}") for m in marks))
+    linked = linked.select("node", "root").join(least, "root").drop("root")
+    named = distinct.join(linked, "node", "left").select(*x, "n", *(F.coalesce(f"least_{m}", f"own_{m}").alias(f"least_{m}") for m in marks))
     # Fingerprints of more than one in HOT rows, of which there are fewer than HOT, meet their rows by broadcast, the others by key.
     rows = distinct.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") > max(HOT, rows // HOT)
     hot = F.broadcast(cut(named.where(often)))
     parts = d.join(hot, x), d.join(hot.select(*x), x, "left_anti").join(named.where(~often), x)
-    both = parts[0].unionByName(parts[1])
-    return both.select("doc_id", F.lower(F.lpad(F.hex("x0"), 16, "0")).alias("fingerprint"), "component_id")
+    return parts[0].unionByName(parts[1])
+
+
+def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, lanes: int = 1, most: int = 64, cell: int = CELL) -> DataFrame:
+    """doc_id, fingerprint in hexadecimal digits, and component_id, the smallest id reachable over links."""
+    d = only(docs, id_col, text_col).toDF("doc_id", "text")
+    d = d.select("doc_id", fingerprints(F.col("text"), shingle, lanes).alias("x"))
+    d = cut(d.select("doc_id", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(lanes))))
+    both = _placed(d, ("doc_id",), radius, lanes, most, cell)
+    return both.select("doc_id", F.lower(F.lpad(F.hex("x0"), 16, "0")).alias("fingerprint"), F.col("least_doc_id").alias("component_id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 4, most: int = 40) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component. Rows of one id count as one document; rows without stay.
+    """``docs`` with one row of each component: that of the smallest id and, of rows of that id, of the smallest text hash.
+
+    Rows count each for itself: rows that share an id and are no near copies all stay. Rows without id stand apart from those with
+    one; of theirs, one a component stays. Of rows with equal id and text the one first in JSON stays.
 
     Defaults: five words; a pair is linked if its fingerprints differ in at most 40 of 256 bits (of two sets of shingles that share
     0.8 of their union, 0.15 of the bits differ on average). Every such pair is found, whatever the size of the table.
     """
-    found = cut(group(docs, id_col, text_col, shingle, lanes=lanes, most=most).select("doc_id", "component_id"))
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop"))
-    mine = F.col(f"_row.`{id_col}`")
-    out = packed(docs).join(drop, mine == F.col("_drop"), "left_anti").select("_row.*")
+    d = only(docs, id_col, text_col).toDF("id", "text")
+    d = d.select("id", F.xxhash64("text").alias("h"), fingerprints(F.col("text"), shingle, lanes).alias("x"))
+    d = cut(d.select("id", "h", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(lanes))))
+    none = F.col("id").isNull()
+    d = d.select("*", F.when(~none, F.struct("id", "h")).alias("key"), F.when(none, F.col("h")).alias("lone"))
+    found = _placed(d, ("key", "lone"), RADIUS, lanes, most, CELL)
+    stays = F.when(none, F.col("lone") == F.col("least_lone")).otherwise(F.col("key") == F.col("least_key"))
+    found = cut(found.select("id", "h", stays.alias("stays")))
+    repeated = found.where("stays").groupBy("id", "h").count().where("count > 1").limit(1).count()
+    drop = found.where("not stays").select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    mine, text = F.col(f"_row.`{id_col}`"), F.xxhash64(F.col(f"_row.`{text_col}`"))
+    out = packed(docs).join(drop, mine.eqNullSafe(F.col("_id")) & (text == F.col("_h")), "left_anti")
     if repeated:
-        own = F.col(f"`{id_col}`")
-        out = out.where(own.isNotNull()).dropDuplicates([id_col]).unionByName(out.where(own.isNull()))
-    return out
+        out = out.groupBy(mine.alias("_id"), text.alias("_h")).agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return out.select("_row.*")

@@ -163,6 +163,14 @@ def test_rows_of_one_first_lane_are_compared_over_all_lanes(spark, monkeypatch):
     assert got == {0: 0, 1: 1, 2: 2, 4: 1, 5: 0}
 
 
+def test_dedup_removes_rows_not_ids(spark):
+    rng = random.Random(9)
+    text = [prose(rng, 300) for _ in range(6)]
+    rows = [(5, text[0], 1), (5, text[1], 2), (5, text[2], 3), (2, text[1], 4), (None, text[3], 5), (None, text[3], 5), (None, text[4], 6), (7, text[5], 7), (7, text[5], 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, root int")
+    assert sorted(r.root for r in simhash.dedup(df).collect()) == [1, 3, 4, 5, 6, 7]
+
+
 def test_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.group(empty).collect() == [] and simhash.dedup(empty).collect() == []
