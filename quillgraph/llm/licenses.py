@@ -87,8 +87,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     d = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", normal(F.col("text")))
     units = F.concat(F.split("text", "\n"), F.split("text", "\n\n+"), F.array("text"))
-    # A unit has no more distinct bigrams than words, and no template that it could reach has fewer than half as many.
-    worded = F.filter(F.transform(F.array_distinct(units), _words), lambda w: (F.size(w) > fewest) & (F.size(w) <= 4 * most))
+    # Distinct bigrams decide what a unit can reach, however often they are repeated. It has more words than any of them, and at least
+    # as many distinct bigrams as distinct words less one; long units are not made into bigrams where these are too many.
+    able = lambda w: (F.size(w) > fewest) & ((F.size(w) <= most) | (F.size(F.array_distinct(w)) <= most + 1))
+    worded = F.filter(F.transform(F.array_distinct(units), _words), able)
     d = d.withColumn("units", F.transform(worded, _bigrams))
     d = d.withColumn("hits", F.filter(F.transform("units", best), lambda h: h.isNotNull()))
     top = F.array_min("hits")

@@ -103,6 +103,17 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def test_licenses_repeated_in_one_long_unit(spark):
+    w = licenses.TEMPLATES[8][1].split()
+    notice = "\n".join(" ".join(w[i : i + 10]) for i in range(0, len(w), 10))
+    texts = ["\n".join([notice] * 6), "Released under the MIT License.\n" * 150, "Released under the MIT License.\n" * 150 + "\n".join(f"word{i}" for i in range(200))]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    for i, t in enumerate(texts):
+        want = slow_licenses(t)
+        assert got[i].license == want[0] and got[i].licenses == want[2] and got[i].dice == pytest.approx(want[1])
+    assert got[0].license == "apache-2.0" and [got[i].n_units for i in (1, 2)] == [2, 1]
+
+
 def test_size_bounds_lose_no_match():
     for m in range(1, 60):
         lo, hi = licenses.sizes(m, 0.8)
