@@ -90,35 +90,66 @@ def test_key_masks_miss_no_pair_within_the_radius():
             assert any(not diff & m for m in masks)
 
 
-@pytest.mark.parametrize("n", [1000, 10**5, 10**7, 10**9])
-def test_tables_miss_no_pair_of_several_lanes(n):
-    rng = random.Random(n)
-    tables = simhash.tables(4, n, 4, 40)
-    for _ in range(300):
-        flip = rng.sample(range(256), 40)
-        diff = [sum(1 << b % 64 for b in flip if b // 64 == i) for i in range(4)]
-        assert any(not diff[i] & mask and diff[i].bit_count() <= reach for i, mask, reach in tables)
-
-
-def test_forest_of_lanes_links_every_pair_within_most(spark):
+def with_keys(texts):
+    return [simhash.votes(t, 5, simhash.VOTES) for t in texts]
+
+
+def test_keys_of_near_copies_meet_and_do_not_depend_on_the_table():
+    rng = random.Random(6)
+    met = {0.8: [0, 0], 0.9: [0, 0]}
+    for _ in range(150):
+        base = prose(rng, 250)
+        for least, edits in ((0.8, 5), (0.9, 2)):
+            a, b = with_keys([base, edited(rng, base, edits)])
+            ka, kb = ([int(k) >> 21 * i & (1 << 21) - 1 for k in simhash.keys_of(v) for i in range(3)][: simhash.KEYS] for v in (a, b))
+            met[least][0] += any(x == y for x, y in zip(ka, kb, strict=True))
+            met[least][1] += 1
+    assert met[0.8][0] >= 0.8 * met[0.8][1] and met[0.9][0] >= 0.98 * met[0.9][1]
+
+
+def test_keys_equal_a_slow_version():
+    rng = random.Random(12)
+    v = simhash.votes(prose(rng, 90), 5, simhash.VOTES)
+    got = [int(k) >> 21 * i & (1 << 21) - 1 for k in simhash.keys_of(v) for i in range(3)][: simhash.KEYS]
+    for key, groups in zip(got, simhash.BITS.tolist(), strict=True):
+        want = 0
+        for g in groups:
+            best = max(range(64), key=lambda i: (abs(int(v[g[i]])), -i))
+            want = want << 7 | best * 2 + int(v[g[best]] > 0)
+        assert key == want
+    for groups in simhash.BITS:
+        assert len(np.unique(groups)) == groups.size
+
+
+def test_forest_of_lanes_links_every_close_pair_that_shares_a_key(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(0, 1 << 63, (4, 1400), dtype=np.uint64)
-    pairs = list(zip(range(0, 400, 2), range(1, 400, 2), strict=True))
-    for k, (a, b) in enumerate(pairs):  # 36 to 43 bits, anywhere or all but a few in the first lane
-        at = np.concatenate([rng.permutation(64)[:34], 64 + rng.permutation(192)]) if k % 4 == 0 else rng.permutation(256)
+    for k, (a, b) in enumerate(zip(range(0, 400, 2), range(1, 400, 2), strict=True)):  # 36 to 43 bits apart
         x[:, b] = x[:, a]
-        for f in at[: 36 + k % 8]:
+        for f in rng.permutation(256)[: 36 + k % 8]:
             x[f // 64, b] ^= np.uint64(1) << np.uint64(f % 64)
     x[:, 400:1000] = x[:, [399]]
     for _ in range(6):
         x[rng.integers(0, 4, 600), np.arange(400, 1000)] ^= np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64)
-    rows = [(i, *(simhash._signed(int(v)) for v in x[:, i])) for i in range(1400)]
-    df = spark.createDataFrame(rows, "node bigint, x0 bigint, x1 bigint, x2 bigint, x3 bigint")
-    root = {r.node: r.root for r in simhash.components(simhash.forest(df, 4, 4, 40)).collect()}
-    for cell in (None, 300):
-        got = root if cell is None else {r.node: r.root for r in simhash.components(simhash.forest(df, 4, 4, 40, cell)).collect()}
-        fps = {i: sum(int(v) << 64 * k for k, v in enumerate(x[:, i])) for i in range(1400)}
-        assert {i: got.get(i, i) for i in fps} == slow_groups(fps, 40)
+    packs = -(-simhash.KEYS // simhash.PACK)
+    names = "node bigint, " + ", ".join(f"x{i} bigint" for i in range(4)) + ", " + ", ".join(f"k{i} bigint" for i in range(packs))
+    fps = {i: sum(int(v) << 64 * k for k, v in enumerate(x[:, i])) for i in range(1400)}
+    for shared in (True, False):  # all have one key, or every row keys of its own
+        rows = [(i, *(simhash._signed(int(v)) for v in x[:, i]), *([1 if shared else i | i << 21 | i << 42] * packs)) for i in range(1400)]
+        df = spark.createDataFrame(rows, names)
+        for cell in (simhash.CELL, 300):
+            got = {r.node: r.root for r in simhash.components(simhash.forest(df, 4, 4, 40, cell)).collect()}
+            assert {i: got.get(i, i) for i in fps} == (slow_groups(fps, 40) if shared else {i: i for i in fps})
+
+
+def test_two_copies_are_linked_whatever_else_the_table_holds(spark):
+    rng = random.Random(31)
+    base = prose(rng, 300)
+    pair = [(1, base), (2, edited(rng, base, 3)), (3, prose(rng, 300))]
+    for others in (0, 3000):
+        df = spark.createDataFrame(pair + [(100 + i, prose(rng, 12)) for i in range(others)], SCHEMA)
+        kept = {r.doc_id for r in simhash.dedup(df).where("doc_id < 100").collect()}
+        assert kept == {1, 3}
 
 
 def test_tree_and_small_runs_agree():
@@ -127,8 +158,11 @@ def test_tree_and_small_runs_agree():
     for _ in range(7):
         x = x ^ (np.uint64(1) << rng.integers(0, 64, len(x), dtype=np.uint64))
     x = np.sort(x)[None]
-    links = simhash.Links(4, 64)
+    links = simhash.Links(4)
     assert (links.tree(x) == links.small(x, np.zeros(700, int))).all()
+    wide = np.concatenate([x, x ^ np.uint64(3), rng.integers(0, 2, (2, 700), dtype=np.uint64)])
+    links = simhash.Links(9)
+    assert (links.tree(wide) == links.small(wide, np.zeros(700, int))).all()
 
 
 def test_components_of_chains_and_stars(spark):
@@ -153,9 +187,9 @@ def test_dedup_keeps_one_of_each_group(spark):
 
 
 def test_rows_of_one_first_lane_are_compared_over_all_lanes(spark, monkeypatch):
-    x0, far = 5, (1 << 60) - 1
+    x0, far, packs = 5, (1 << 60) - 1, -(-simhash.KEYS // simhash.PACK)
     lanes = {"a": (x0, 0, 0, 0), "b": (x0, far, far, 0), "c": (x0, 0, 0, (1 << 41) - 1), "d": (x0, 0, 0, (1 << 20) - 1), "e": (x0, far, far, 1)}
-    monkeypatch.setattr(simhash, "fingerprints", lambda text, *_: F.coalesce(*(F.when(text == k, F.array(*map(F.lit, v)).cast("array<bigint>")) for k, v in lanes.items())))
+    monkeypatch.setattr(simhash, "fingerprints", lambda text, *_: F.coalesce(*(F.when(text == k, F.array(*map(F.lit, (*v, *([0] * packs)))).cast("array<bigint>")) for k, v in lanes.items())))
     df = spark.createDataFrame(list(enumerate("abcdea")), SCHEMA)
     got = {r.doc_id: r.component_id for r in simhash.group(df, lanes=4, most=40).collect()}
     assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1, 5: 0}
