@@ -22,6 +22,17 @@ ROBOTS = [
     ("user-agent: *\n# note\nDisallow: /c # why\r\nSitemap: http://h/s", "/c", False),
     ("Useragent: a\nUser-agent: tts\nDisallow: /d", "/d/e", False),
     ("Disallow: /d", "/d/e", True),
+    ("User-agent: *\nDisallow: /a%20b", "/a%20b/c", False),
+    ("User-agent: *\nDisallow: /%7Ejoe/", "/~joe/x", False),
+    ("User-agent: *\nDisallow: /~joe/", "/%7ejoe/x", False),
+    ("User-agent: *\nDisallow: /a%2fb", "/a%2Fb", False),
+    ("User-agent: *\nDisallow: /a+b", "/a+b", False),
+    ("User-agent: *\nDisallow: /a*b*c$", "/a1b2b3c", False),
+    ("User-agent: *\nDisallow: /a*b*c$", "/a1b2c3", True),
+    ("User-agent: *\nDisallow: /ab*ba$", "/aba", True),
+    ("User-agent: *\nDisallow: /ab$", "/abc", True),
+    ("User-agent: *\nDisallow: /ab$", "/ab", False),
+    ("User-agent: *\nAllow: /a*c\nDisallow: /a", "/abd", False),
 ]
 
 
