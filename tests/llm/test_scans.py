@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,21 @@ def test_secrets_equal_brute_force(spark):
     assert out[11].endswith("<secret>") and len(out[11]) == len("filler words ") * 9000 + 8
 
 
+def test_secrets_of_long_runs_and_many_matches_take_time_in_proportion(spark):
+    rng = random.Random(14)
+    run = "".join(rng.choice(secrets.ALPHABET) for _ in range(100_000)) + "7a"
+    many = " ".join(f"token=abcdefgh{i}" for i in range(20_000))
+    for text, n_assign in ((run, 0), ("ab " * 3 + "0123456789" * 9_000, 0), (many, 20_000)):
+        df = spark.createDataFrame([(None, text)], SCHEMA)
+        began = time.perf_counter()
+        got, masked = secrets.report(df).first(), secrets.redact(df).first().text
+        assert time.perf_counter() - began < 15
+        assert got.doc_id is None and got.n_assign == n_assign
+        if n_assign:
+            assert got.spans == write(slow_base(text)) and masked == " ".join(["<secret>"] * n_assign)
+    assert secrets.report(spark.createDataFrame([(1, run)], SCHEMA)).first().spans == f"b64run:0:{len(run)}"
+
+
 def test_secrets_of_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert secrets.report(empty).collect() == [] and secrets.redact(empty).collect() == []
