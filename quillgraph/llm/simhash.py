@@ -47,8 +47,8 @@ from quillgraph.llm.common import cut, only, packed
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of one key that one task indexes at once; fan-out of the tree; queries that descend together, and pairs that they may hold.
 CELL, FAN, QUERIES, HELD = 1 << 18, 8, 512, 1 << 22
-#: A key, node or group of more than one in so many rows is joined apart.
-HOT = 1000
+#: A key, node or group of more than one in so many rows, and of more than a few, is joined apart.
+HOT, FEW = 1000, 100
 #: Rows to gather before keys are compared, all at once.
 BUFFER = 1 << 16
 #: Neighbours in Gray order that are compared before the tree is descended, so that large groups of near copies are one group early.
@@ -336,7 +336,7 @@ def _join_hot(rows: DataFrame, table: DataFrame, key: list[str], total: int) ->
 
     Keys of more than one in HOT of ``total`` rows, of which there are fewer than HOT, come by broadcast, all others by the key.
     """
-    often = F.col("n") > max(HOT, total // HOT)
+    often = F.col("n") > max(FEW, total // HOT)
     hot, cold = F.broadcast(table.where(often).drop("n")), table.where(~often).drop("n")
     rest = rows.join(hot.select(*key), key, "left_anti").join(cold, key)
     return rows.join(hot, key).unionByName(rest)
