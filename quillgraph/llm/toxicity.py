@@ -1,23 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text: each holds the segments of 6 to 8 characters that
-tell its class from the other, picked one after the other (a segment's words are taken out of the counts before the next is
-picked), the strongest last, where references to it are cheapest. A text is cut into windows of ``WORDS`` words. A window's gain is
-its compressed length with the ordinary dictionary less that with the toxic one; both start with the same block that both
-dictionaries end with, so that no window falls under zstandard's least saving. The document's evidence is the sum of gains that
-reach a least gain, over the square root of the number of windows. Least gain and threshold are calibrated on documents that the
-dictionaries have not seen, and the score is a logistic curve through 0.5 at the threshold.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Both begin with what the trainer takes from ordinary
+text as a whole. Then come, in either, what it takes from the class's own spans: those parts of words that tell the class from the
+other (segments of 6 to 8 characters, found one after the other by likelihood ratio; a segment's words are taken out of the counts
+before the next is looked for). Every such span stands in up to ``EACH`` samples, parted by bytes that no text holds twice, so that
+the trainer weighs spans alike and finds nothing across them. How many there are is not limited.
 
-Training reads at most ``TOXIC`` and ``ORDINARY`` labelled documents of at most ``LONGEST`` characters, those of the smallest id
-hashes, one of each text. Every document is scored over its whole text.
+A text is cut into windows of ``WORDS`` words. A window's gain is its compressed length with the ordinary dictionary less that with
+the toxic one; both end with the block that every window starts with, so that none falls under zstandard's least saving. The
+document's evidence is the sum of gains that reach a least gain, over the square root of the number of windows. Least gain and
+threshold are calibrated on documents that the dictionaries have not seen, and the score is a logistic curve through 0.5 at the
+threshold. Dictionaries are loaded for their content: in windows of six words entropy tables cost more than they tell.
+
+Training reads at most ``TOXIC`` and ``ORDINARY`` labelled documents of at most ``LONGEST`` characters and of each class at most
+``CHARACTERS`` in all, those of the smallest id hashes, one of each text. Every document is scored over its whole text.
 
 Defined cases: null and empty texts have no evidence and get the score of none; without labels of both classes every score is 0;
-labels other than 0 and 1 are not used; an id labelled twice counts as toxic if one label says so; repeated rows give repeated
-results; an empty table gives an empty result; null ids are scored; further columns are dropped by ``score`` and kept by ``clean``.
+labels other than 0 and 1 are not used; an id labelled twice counts as toxic if one label says so; of equally good thresholds the
+one in the widest gap counts, documents of equal evidence get equal scores; very long texts are windows like any other, and windows
+of more than ``CAP`` bytes are cut; repeated rows give repeated results; an empty table gives an empty result; null ids are scored;
+further columns are dropped by ``score`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import math
 import re
@@ -28,18 +35,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import crc_mod, only
 
-TOXIC, ORDINARY, LONGEST = 3000, 6000, 20_000
-WORDS, SEGMENTS, LENGTHS, CAP = 6, 48, (6, 7, 8), 2048
-#: A segment is over-represented if it is this many times as frequent as in the other class, and stands in this share of documents.
-TIMES, SHARE, FEWEST = 20, 0.015, 4
+TOXIC, ORDINARY, LONGEST, CHARACTERS = 3000, 6000, 20_000, 16_000_000
+WORDS, LENGTHS, CAP = 6, (6, 7, 8), 2048
+#: A segment is over-represented if it is this many times as frequent as in the other class, and stands in so many documents.
+TIMES, FEWEST = 20, 4
+#: Bytes of the dictionaries: of what both begin with, for each segment of a class, and at least; samples of a span, samples in all; the
+#: trainer's segments and units; bytes of a span with its filler.
+BASE, PER_SPAN, LEAST_SIZE, EACH, SAMPLES, UNIT, BLOCK = 512, 128, 512, 8, 8, (32, 8), 16
+#: What an ordinary document taken for toxic costs, in toxic ones missed.
+FALSE = 4
 #: Least log-likelihood ratio of a segment's split between the classes, above what the best of millions of segments reach by chance.
 STRENGTH = 20.0
-FILL = 4
 SHARED = bytes(range(1, 9)) + bytes(range(14, 30))
 NOT_WORD = re.compile(r"[\W_]+")
 
@@ -84,25 +95,14 @@ def _apart(texts: list[str]) -> list[str]:
     return out
 
 
-def frequent(own: Counter, skip: list[str], most: int) -> list[str]:
-    """The segments of most documents, each of a word of its own, none of them within ``skip``."""
-    picked: list[str] = []
-    for w, _ in own.most_common(50 * most + 200):
-        g = f" {w} "[: LENGTHS[-1]]
-        if len(picked) < most and len(g) >= LENGTHS[0] and not any(g in x or x in g for x in (*skip, *picked)):
-            picked.append(g)
-    return picked
-
-
 def contrast(own: Counter, other: Counter, n_own: int, n_other: int) -> list[str]:
     """Segments over-represented in ``own``, the strongest first, each counted without the words that earlier ones explain."""
-    fewest = max(FEWEST, SHARE * n_own)
     rate = n_own / n_other
     mine: Counter = Counter()
     for w, n in own.items():
         for g in _parts(w):
             mine[g] += n
-    mine = Counter({g: n for g, n in mine.items() if n >= fewest})
+    mine = Counter({g: n for g, n in mine.items() if n >= FEWEST})
     theirs: Counter = Counter()
     for w, n in other.items():
         for g in _parts(w):
@@ -121,10 +121,10 @@ def contrast(own: Counter, other: Counter, n_own: int, n_other: int) -> list[str
     heap = [(-strength(mine[g], theirs[g]), -len(g), g) for g in good]
     heapq.heapify(heap)
     picked, gone = [], set()
-    while heap and len(picked) < SEGMENTS:
+    while heap:
         old, size, g = heapq.heappop(heap)
         n = sum(own[w] for w in holders[g] if w not in gone)
-        if n < fewest or n < TIMES * rate * (theirs[g] + 0.5) or strength(n, theirs[g]) < STRENGTH:
+        if n < FEWEST or n < TIMES * rate * (theirs[g] + 0.5) or strength(n, theirs[g]) < STRENGTH:
             continue
         now = -strength(n, theirs[g])
         if heap and (now, size, g) > heap[0] and now > old:
@@ -136,14 +136,47 @@ def contrast(own: Counter, other: Counter, n_own: int, n_other: int) -> list[str
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters(window_log=14, chain_log=14, hash_log=14, search_log=4, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    params = zstandard.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=4, min_match=6, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
     return zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
 
-def dictionary(segments: list[str]) -> bytes:
-    """Raw content, segments apart from each other so that no match runs from one into the next."""
-    body = b"\x7f".join(g.encode("utf-8", "surrogatepass") for g in reversed(segments))
-    return b"\x7f" * 40 + body + b"\x7f" + SHARED
+def spans(texts: list[str], segments: list[str]) -> list[bytes]:
+    """Training samples of what in the words of a class is covered by its segments."""
+    held, seen, pieces = set(segments), Counter(), []
+    for w in (w for t in texts for w in marked_words(t)):
+        s = f" {w[:64]} "
+        at = [(i, i + k) for k in LENGTHS for i in range(len(s) - k + 1) if s[i : i + k] in held]
+        if at:
+            span = s[min(i for i, _ in at) : max(j for _, j in at)].encode("utf-8", "surrogatepass")
+            seen[span] += 1
+            if seen[span] <= EACH:
+                pieces.append(span + _filler(span, BLOCK - len(span)) + _filler(b"%d" % seen[span] + span, UNIT[1]))
+    return [b"".join(pieces[i::SAMPLES]) for i in range(SAMPLES)] if pieces else []
+
+
+def _filler(of: bytes, size: int) -> bytes:
+    """Bytes that follow from ``of`` and stand in no text."""
+    return bytes(x | 0x80 for x in hashlib.blake2b(of, digest_size=64).digest()[: max(0, size)])
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """What zstandard's trainer makes of the samples; where they are too few for it, the samples themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=UNIT[0], d=UNIT[1], notifications=0).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def dictionaries(bad: list[str], fine: list[str]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary."""
+    b, f = _document_counts(bad), _document_counts(fine)
+    base = trained([f" {' '.join(marked_words(t))} ".encode("utf-8", "surrogatepass") for t in fine], BASE)
+
+    def of(texts: list[str], own: Counter, other: Counter, n_other: int) -> bytes:
+        segments = contrast(own, other, len(texts), n_other)
+        return base + trained(spans(texts, segments), max(LEAST_SIZE, PER_SPAN * len(segments))) + SHARED
+
+    return of(bad, b, f, len(fine)), of(fine, f, b, len(bad))
 
 
 @dataclass
@@ -183,9 +216,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
     bad, fine = _apart([t for t, y in made if y]), _apart([t for t, y in made if not y])
     if not bad or not fine:
         return Model(b"", b"", trained=False)
-    b, f = _document_counts(bad), _document_counts(fine)
-    marked = contrast(b, f, len(bad), len(fine))
-    model = Model(dictionary(marked), dictionary(frequent(f, marked, FILL) + contrast(f, b, len(fine), len(bad))))
+    model = Model(*dictionaries(bad, fine))
     if len({y for _, y in held}) < 2:
         held = rows
     y = np.array([y for _, y in held])
@@ -197,7 +228,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             at = (lo + hi) / 2
             hit, false = (s[y == 1] >= at).mean(), (s[y == 0] >= at).mean()
-            key = (hit - false - (1 - hit) * false, hi - lo)  # of equal cuts the one with the widest gap
+            key = (hit - FALSE * false, hi - lo)
             if best is None or key > best[0]:
                 best = key, least, at
     if best is None:
@@ -217,8 +248,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = y.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     ids = [tuple(r) for label, n in ((1, TOXIC), (0, ORDINARY)) for r in y.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
     few = spark.createDataFrame(ids, y.schema)  # at most TOXIC + ORDINARY rows
-    d = only(docs, id_col, text_col).toDF("doc_id", "text").where(F.length("text").between(1, LONGEST))
-    return train([(r[0], r[1]) for r in d.join(F.broadcast(few), "doc_id").select("text", "label").collect()])
+    d = only(docs, id_col, text_col).toDF("doc_id", "text").where(F.length("text").between(1, LONGEST)).join(F.broadcast(few), "doc_id")
+    # An id may stand in any number of rows: one row of each text, then as many as the bounds allow.
+    d = d.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"), F.min(F.xxhash64("doc_id")).alias("at"))
+    rank = Window.partitionBy("label").orderBy("at", "h")
+    kept = d.withColumn("row", F.row_number().over(rank)).withColumn("far", F.sum(F.length("text")).over(rank))
+    kept = kept.where(f"row <= {TOXIC + ORDINARY} and far <= {CHARACTERS}")
+    return train([(r[0], r[1]) for r in kept.select("text", "label").collect()])
 
 
 def score_column(docs: DataFrame, model: Model, text: Column) -> Column:

@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,6 +97,27 @@ def test_toxicity_of_held_out_documents(spark, toxic):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_dictionaries_are_trained_and_tell_unseen_forms(toxic):
+    model = toxicity.train([(t, y) for _, t, y in toxic])
+    assert model.toxic != model.ordinary and model.toxic.endswith(toxicity.SHARED) and model.ordinary.endswith(toxicity.SHARED)
+    rng = random.Random(77)
+    plain = [prose(rng, "aa", 40) for _ in range(60)]
+    forms = ["Grumpfishes", "VEXLINGER", "snortled", "vexlingly", "grumpfish-like"]
+    assert not any(any(w in t.split() for w in map(str.lower, forms)) for _, t, _ in toxic)
+    assert sum(model.score(t) >= 0.5 for t in plain) <= 2
+    assert sum(model.score(f"{t} {forms[i % 5]} {forms[(i + 1) % 5]} ba ko") >= 0.5 for i, t in enumerate(plain)) >= 57
+    # By hand: what a window gains is the difference of its lengths when compressed.
+    t = plain[0] + " vexling"
+    pair = [toxicity._compressor(d) for d in (model.ordinary, model.toxic)]
+    lengths = [[len(c.compress(toxicity.SHARED + w)) for w in toxicity.windows(t)] for c in pair]
+    assert model.gains(t) == [a - b for a, b in zip(*lengths, strict=True)]
+
+
+def test_toxicity_segments_equal_a_slow_likelihood_ratio():
+    own, other = Counter({"grumpf": 30, "common": 40, "rarely": 3}), Counter({"common": 380, "plainly": 100})
+    assert toxicity.contrast(own, other, 50, 500)[0].strip().lower() in "grumpf" and len(toxicity.contrast(own, other, 50, 500)) == 1
+
+
 def test_toxicity_without_both_classes(spark):
     d = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id bigint, text string")
     for rows in ([], [(1, 0)], [(1, 1)]):
