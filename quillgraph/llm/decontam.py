@@ -1,24 +1,24 @@
 """Benchmark decontamination by greedy string tiling.
 
 Tokens are runs of word characters, lower-cased. A document's tokens become ids of the benchmark's vocabulary; Karp-Rabin hashes
-of ``MIN_TILE`` ids, summed over whole arrays, are joined with those of the items. Seeds that continue each other form matches.
-The longest match of unmarked tokens is marked again and again, on both sides, until none of ``MIN_TILE`` tokens is left; an item
-is found if the tiles cover ``COVERAGE`` of its tokens, in whatever order they stand. Seeds bound the tiles from above, so items
-whose seeds cover too little are not tiled.
+of ``MIN_TILE`` ids are joined with those of the items, each distinct hash of a document once. Seeds bound the tiles from above, so
+items whose seeds cover too little are not tiled. The longest match of unmarked tokens is marked again and again, on both sides,
+until none of ``MIN_TILE`` tokens is left: its length is found by running Karp-Rabin hashes over all unmarked windows of a length,
+which is halved or raised until it fits, and what is marked is compared token by token. Memory is in proportion to document and
+item, however often tokens repeat. An item is found if the tiles cover ``COVERAGE`` of its tokens, in whatever order they stand.
 
 The benchmark is a query set: it is read in blocks of at most ``BLOCK_BYTES`` of text, each broadcast and held against all
 documents in one pass without a shuffle.
 
-Defined cases: null and empty texts match nothing; items of fewer than ``MIN_TILE`` tokens cannot be matched; repeated rows give
-repeated results; items with equal text are all reported; an empty table on either side gives no match; null ids are kept; further
-columns are dropped by ``matches`` and kept by ``clean``.
+Defined cases: null and empty texts match nothing; an item of fewer than ``MIN_TILE`` tokens is found where it is the whole document,
+token by token; an item without tokens is never found; of equally long matches the first in the document, then in the item, is
+marked; texts of any length are tiled whole; repeated rows give repeated results; items with equal text are all reported; an empty
+table on either side gives no match; null ids are kept; further columns are dropped by ``matches`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import only
 
 MIN_TILE, COVERAGE, BLOCK_BYTES = 5, 0.5, 16 << 20
+#: An odd number and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
 TOKEN = re.compile(r"\w+")
 FOUND = "array<struct<item_id:bigint,coverage:double,tiles:int,longest:int>>"
 
@@ -39,24 +41,41 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-def _rolling(ids: np.ndarray, k: int) -> np.ndarray:
-    """The Karp-Rabin hash of each run of k ids."""
-    h = np.zeros(max(0, len(ids) - k + 1), np.uint64)
-    for j in range(k):
-        h = h * np.uint64(BASE) + ids[j : j + len(h)].astype(np.uint64) + np.uint64(1)
-    return h
+def _coded(ids: np.ndarray) -> np.ndarray:
+    """Ids as well mixed numbers; id 0 is kept for tokens that no item has."""
+    x = ids.astype(np.uint64) * np.uint64(BASE)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+class Rolling:
+    """Karp-Rabin hashes of all runs of any length of a sequence of ids."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        power = np.full(len(ids) + 1, BASE, np.uint64)
+        power[0] = 1
+        back = np.full(len(ids) + 1, BACK, np.uint64)
+        back[0] = 1
+        self.back = np.cumprod(back)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_coded(ids) * np.cumprod(power)[:-1], dtype=np.uint64)))
+
+    def of(self, length: int) -> np.ndarray:
+        n = max(0, len(self.sums) - length)
+        return (self.sums[length:] - self.sums[:n]) * self.back[:n]
 
 
 class Items:
     """The items of a block, ready to be matched."""
 
     def __init__(self, rows: list[tuple], k: int, coverage: float) -> None:
-        self.k, self.coverage, self.vocabulary, self.items = k, coverage, {}, []
+        self.k, self.coverage, self.vocabulary, self.items, self.short = k, coverage, {}, [], {}
         for item_id, text in rows:
             w = tokens(text)
             if len(w) >= k:
-                self.items.append((item_id, np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64)))
-        hashes = [_rolling(ids, k) for _, ids in self.items]
+                self.items.append((item_id, np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], np.int64)))
+            elif w:
+                self.short.setdefault(tuple(w), []).append(item_id)
+        hashes = [Rolling(ids).of(k) for _, ids in self.items]
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, int)
         at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, int)
@@ -65,70 +84,89 @@ class Items:
 
     def match(self, text: str | None) -> list[tuple]:
         w = tokens(text)
-        if len(w) < self.k or not len(self.hash):
+        if len(w) < self.k:
+            return [(item_id, 1.0, 1, len(w)) for item_id in self.short.get(tuple(w), ())]
+        if not len(self.hash):
             return []
-        ids = np.fromiter(map(self.vocabulary.get, w, repeat(-1)), np.int64, len(w))
+        ids = np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.int64, len(w))
         # A window is worth hashing if all of its tokens are known.
-        known = np.concatenate(([0], np.cumsum(ids >= 0)))
+        known = np.concatenate(([0], np.cumsum(ids > 0)))
         full = np.flatnonzero(known[self.k :] - known[: -self.k] == self.k)
         if not len(full):
             return []
-        h = _rolling(ids, self.k)[full]
+        seeds = Rolling(ids).of(self.k)
+        h = np.unique(seeds[full])
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        hit = hi > lo
-        full, lo, n = full[hit], lo[hit], (hi - lo)[hit]
-        if not len(full):
+        n = (hi - lo)[hi > lo]
+        lo = lo[hi > lo]
+        if not len(lo):
             return []
         entry = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        there, item, at = np.repeat(full, n), self.item[entry], self.at[entry]
+        item, at = self.item[entry], self.at[entry]
         found = []
         for i in np.unique(item):
             item_id, own = self.items[i]
-            mine = item == i
-            a, b = there[mine], at[mine]
+            mine = at[item == i]
             covered = np.zeros(len(own) + 1, np.int64)
-            np.add.at(covered, np.unique(b), 1)
-            np.add.at(covered, np.unique(b) + self.k, -1) if len(own) >= self.k else None
+            covered[mine] += 1
+            covered[mine + self.k] -= 1
             if np.count_nonzero(np.cumsum(covered[:-1])) < self.coverage * len(own):
                 continue
-            tiles = tile(a, b, self.k, ids, own)
+            tiles = tile(self._near(seeds, self.hash[entry[item == i]], ids), own, self.k)
             share = sum(tiles) / len(own)
             if share >= self.coverage:
                 found.append((item_id, share, len(tiles), max(tiles)))
         return found
 
-
-def tile(a: np.ndarray, b: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> list[int]:
-    """Lengths of the tiles, from seeds of k tokens at a in the document and b in the item."""
-    same = np.ones(len(a), bool)
-    for j in range(k):  # equal hashes of unequal tokens go
-        same &= ids[a + j] == own[b + j]
-    order = np.lexsort((a[same], a[same] - b[same]))
-    a, b = a[same][order], b[same][order]
-    if not len(a):
-        return []
-    first = np.flatnonzero(np.concatenate(([True], (np.diff(a - b) != 0) | (np.diff(a) != 1))))
-    length = np.diff(np.append(first, len(a))) + k - 1
-    heap = [(-int(n), int(x), int(y)) for n, x, y in zip(length, a[first], b[first], strict=True)]
-    heapq.heapify(heap)
-    mine, theirs, tiles = set(), bytearray(len(own)), []
-    while heap:
-        n, x, y = heapq.heappop(heap)
-        n = -n
-        free = [x + j not in mine and not theirs[y + j] for j in range(n)]
-        if all(free):
-            tiles.append(n)
-            mine.update(range(x, x + n))
-            theirs[y : y + n] = b"\1" * n
-            continue
-        start = None
-        for j in range(n + 1):  # what is left unmarked of a match goes back
-            if j < n and free[j]:
-                start = j if start is None else start
-            elif start is not None:
-                if j - start >= k:
-                    heapq.heappush(heap, (start - j, x + start, y + start))
-                start = None
+    def _near(self, seeds: np.ndarray, wanted: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The document's ids with what no seed of the item covers left out, but for one token between what is kept."""
+        hit = np.flatnonzero(np.isin(seeds, wanted))
+        edge = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(edge, hit, 1)
+        np.add.at(edge, hit + self.k, -1)
+        kept = np.cumsum(edge[:-1]) > 0
+        out = np.where(kept, ids, 0)
+        return out[kept | np.concatenate(([False], kept[:-1]))]
+
+
+def _free(marked: np.ndarray, length: int) -> np.ndarray:
+    """Where runs of so many unmarked tokens start."""
+    sums = np.concatenate(([0], np.cumsum(marked)))
+    return np.flatnonzero(sums[length:] == sums[: len(sums) - length]) if length < len(sums) else np.zeros(0, np.int64)
+
+
+def tile(ids: np.ndarray, own: np.ndarray, k: int) -> list[int]:
+    """Lengths of the tiles, of k tokens or more, between a document and an item; id 0 fits nothing."""
+    here, there = Rolling(ids), Rolling(own)
+    mine, theirs, tiles = ids == 0, np.zeros(len(own), bool), []
+
+    def shared(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of free windows whose hash the other side has, and those hashes."""
+        a, b = _free(mine, length), _free(theirs, length)
+        ha, hb = here.of(length)[a], there.of(length)[b]
+        fits = np.isin(ha, hb)
+        return a[fits], ha[fits], b, hb
+
+    most = min(len(ids), len(own))
+    while most >= k:
+        low, high = k - 1, most  # the longest length that both sides share
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if len(shared(mid)[0]) else (low, mid - 1)
+        if low < k:
+            break
+        most, marked = low, True
+        while marked:
+            marked = False
+            a, ha, b, hb = shared(most)
+            for x, h in zip(a.tolist(), ha, strict=True):
+                y = next((y for y in b[hb == h].tolist() if np.array_equal(ids[x : x + most], own[y : y + most])), None)
+                if y is not None:
+                    mine[x : x + most] = theirs[y : y + most] = True
+                    tiles.append(most)
+                    marked = True
+                    break
+        most -= 1
     return tiles
 
 

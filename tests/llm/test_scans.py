@@ -3,7 +3,9 @@ import math
 import random
 import re
 import time
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +197,34 @@ def test_decontamination_equals_plain_tiling(spark, monkeypatch):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+def test_tiling_of_repeated_tokens_is_bounded():
+    items = decontam.Items([(1, "a " * 5000), (2, "b " * 3000 + "c " * 3000)], 5, 0.5)
+    began = time.perf_counter()
+    tracemalloc.start()
+    assert items.match("a " * 20_000) == [(1, 1.0, 1, 5000)]
+    assert items.match("c " * 10_000 + "b " * 10_000) == [(2, 1.0, 2, 3000)]
+    assert items.match(("a " * 99 + "x ") * 200) == [(1, 4999 / 5000 if 5000 % 99 < 5 else 1.0, 51, 99)]
+    assert tracemalloc.get_traced_memory()[1] < 100e6 and time.perf_counter() - began < 20
+    tracemalloc.stop()
+
+
+def test_tiling_equals_the_slow_version_on_few_words():
+    rng = random.Random(3)
+    for _ in range(150):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(5, 60))] for _ in range(2))
+        ids = {c: i + 1 for i, c in enumerate("abc")}
+        got = decontam.tile(np.array([ids[c] for c in a]), np.array([ids[c] for c in b]), 5)
+        assert sum(got) == slow_tiling(a, b) and sorted(got, reverse=True) == got
+
+
+def test_items_of_few_tokens_are_found_as_whole_documents(spark):
+    b = spark.createDataFrame([(1, "What is it?"), (2, "?"), (3, "a b c d e")], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, "what is IT"), (2, "what is it now"), (3, "?"), (4, "x a b c d e"), (None, "What, is it")], SCHEMA)
+    got = sorted((r.doc_id or 0, r.item_id, r.coverage, r.tiles, r.longest) for r in decontam.matches(d, b).collect())
+    assert got == [(0, 1, 1.0, 1, 3), (1, 1, 1.0, 1, 3), (4, 3, 1.0, 1, 5)]
+    assert sorted(r.doc_id for r in decontam.clean(d, b).collect()) == [2, 3]
+
+
 def test_decontamination_of_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     items = spark.createDataFrame([], "item_id bigint, text string")
