@@ -5,11 +5,11 @@ from __future__ import annotations
 from quillgraph.llm import licenses, secrets
 
 TOPK = """
-WITH rows AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE))) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
-pairs AS (SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
-  FROM rows q JOIN rows x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id)
-SELECT query_id, rank::INT AS rank, vec_id, coalesce(score, 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
+WITH rows AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.row, q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: coalesce(p[1] * p[2], 0)))::BIGINT AS score
+  FROM rows q JOIN rows x ON q.vec_id % 100 = 0 AND q.row <> x.row)
+SELECT query_id, rank::INT AS rank, vec_id, coalesce(score, 0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
 """
 
 

@@ -9,23 +9,22 @@ SCHEMA = "vec_id bigint, embedding array<double>, score int"
 
 
 def slow(rows, k=10):
-    live = {}
+    live = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        w = [math.floor(1024 * x) for x in v]
-        live[i] = min(live.get(i, w), w)
-    out = set()
-    for q, a in live.items():
+        live.append((i, [math.floor(1024 * x) for x in v]))
+    out = []
+    for n, (q, a) in enumerate(live):
         if q % 100 == 0:
-            best = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=False)))), i) for i, b in live.items() if i != q)[:k]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
-    return out
+            best = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=False)))), i) for m, (i, b) in enumerate(live) if m != n)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
 
 
 def run(spark, rows):
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
-    return {(r.query_id, r.rank, r.vec_id, r.score) for r in S.every_hundredth(df).collect()}
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in S.every_hundredth(df).collect())
 
 
 def test_equals_brute_force_with_ties_nulls_and_odd_vectors(spark, monkeypatch):
@@ -38,6 +37,43 @@ def test_equals_brute_force_with_ties_nulls_and_odd_vectors(spark, monkeypatch):
     assert run(spark, rows) == slow(rows)
 
 
+def test_floors_are_shared_and_change_no_result(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=12).round(2).tolist()) for i in range(900)] + [(300, [0.0] * 12), (300, [9.0] * 12)]
+    want = slow(rows)
+    for few in (20, 64, 2048):
+        monkeypatch.setattr(S, "FLOOR", few)
+        monkeypatch.setattr(S, "VECTORS", 200)
+        assert run(spark, rows) == want
+    x = [np.floor(1024 * np.array(v)) for _, v in rows]
+    ids = np.array([i for i, _ in rows])
+    every = S.search(ids[:3], x[:3], ids, x)
+    least = np.array([min(s for q, _, s in every if q == i) for i in range(3)], float)
+    assert sorted(S.search(ids[:3], x[:3], ids, x, floor=least)) == sorted(every)
+    assert S.search(ids[:3], x[:3], ids, x, floor=least + 1e9) == []
+
+
+def test_queries_of_another_table(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(60)]
+    asked = [(3, rows[3][1]), (77, rows[4][1])]
+    schema = "vec_id bigint, embedding array<double>"
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in S.topk(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), k=2).collect())
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = []
+    for q, v in asked:
+        w = [math.floor(1024 * x) for x in v]
+        best = sorted((-sum(a * b for a, b in zip(w, u, strict=True)), i) for i, u in whole.items() if i != q)[:2]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_components_are_floored_up_to_the_largest_doubles(spark):
+    values = [2.0**40 + 1 / 4096, -(2.0**41) - 1 / 2048, 2.0**42 + 1 / 1024, -0.0001, 1e300]
+    df = spark.createDataFrame([(values,)], "v array<double>")
+    assert df.select(S.whole(df.v).alias("w")).first().w == [float(math.floor(1024 * x)) for x in values]
+
+
 def test_scores_beyond_doubles_are_exact(spark):
     rows = [(100, [2.0**30 + 1, 3.0, -1.0]), (1, [2.0**29, 5.0, 7.0]), (2, [2.0**29, 5.0, 6.0]), (3, [1e30, 0.0, 0.0])]
     assert run(spark, rows) == slow(rows)
