@@ -5,10 +5,12 @@ those of the smallest hashes. Features are cut at quantiles. Each level of each
 (node, feature, bin), in integers so that the order of additions does not matter; the driver sees those sums only and picks the
 splits. The sample is bounded, so it is kept as one partition and the sums need no shuffle. Trees become nested conditionals.
 Suffix statistics are the smoothed log-odds of the host's last label, of its last two, and of the path's extension, for suffixes of
-``FEWEST`` training URLs or more; they are joined as a broadcast of at most ``3 * SAMPLE / FEWEST`` rows.
+``FEWEST`` training URLs or more; they are joined as a broadcast of at most ``3 * SAMPLE / FEWEST`` rows. Training
+URLs are in ``FOLDS`` folds by hash, and one's odds are those of the other folds, so that trees see no label of a URL's own.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, no rule, and is scored on what there is; without labelled
 URLs of both classes the score is the share of blocked ones (0 without any); of rules of one length that fit, block wins;
+null ids are kept; URLs of any length are read whole, the entropy's time is in proportion to length and distinct characters;
 repeated rows give repeated results; an empty table gives an empty result; further columns are dropped.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import cut, only
 
-SAMPLE, FEWEST, BINS = 20_000, 5, 16
+SAMPLE, FEWEST, BINS, FOLDS = 20_000, 5, 16, 5
 TREES, DEPTH, RATE, RIDGE, LEAST_GAIN = 12, 3, 0.3, 1.0, 1e-3
 SCALE = float(1 << 20)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,14 +81,16 @@ class Model:
     def __init__(self, base: float, trees: list, odds: DataFrame | None) -> None:
         self.base, self.trees, self.odds = base, trees, odds
 
-    def with_features(self, df: DataFrame) -> DataFrame:
+    def with_features(self, df: DataFrame, fold: Column | None = None) -> DataFrame:
+        """``df`` with all features; for training rows, with the odds that the other folds show."""
         df = lexical(df)
         for s in SUFFIXES:
             if self.odds is None:
                 df = df.withColumn(f"odds_{s}", F.lit(0.0))
                 continue
-            mine = self.odds.where(F.col("kind") == s).select(F.col("suffix").alias(s), F.col("odds").alias(f"odds_{s}"))
-            df = df.join(F.broadcast(mine), s, "left").withColumn(f"odds_{s}", F.coalesce(f"odds_{s}", F.lit(0.0)))
+            mine = self.odds.where(F.col("kind") == s).select(F.col("suffix").alias(s), F.col("odds").alias("_odds"), F.col("others").alias("_others"))
+            own = F.col("_odds") if fold is None else F.get("_others", fold)
+            df = df.join(F.broadcast(mine), s, "left").withColumn(f"odds_{s}", F.coalesce(own, F.lit(0.0))).drop("_odds", "_others")
         return df
 
     def margin(self) -> Column:
@@ -135,12 +139,18 @@ def fit(labelled: DataFrame) -> Model:
     if not 0 < blocked < n:
         return Model(700.0 if blocked else -700.0, [], None)
     base = math.log(blocked / (n - blocked))
-    kinds = rows.select("label", F.explode(F.create_map(*(x for s in SUFFIXES for x in (F.lit(s), F.col(s))))).alias("kind", "suffix"))
-    sums = kinds.groupBy("kind", "suffix").agg(F.count("*").alias("n"), F.sum("label").alias("k")).where(F.col("n") >= FEWEST)
+    fold = F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(FOLDS)).cast("int")
+    kinds = rows.select("label", fold.alias("fold"), F.explode(F.create_map(*(x for s in SUFFIXES for x in (F.lit(s), F.col(s))))).alias("kind", "suffix"))
+    out = [F.count_if(F.col("fold") != i).alias(f"n{i}") for i in range(FOLDS)] + [F.sum(F.when(F.col("fold") != i, F.col("label")).otherwise(0)).alias(f"k{i}") for i in range(FOLDS)]
+    sums = kinds.groupBy("kind", "suffix").agg(F.count("*").alias("n"), F.sum("label").alias("k"), *out).where(F.col("n") >= FEWEST)
     share = blocked / n
-    odds = F.round(F.log((F.col("k") + 4 * share) / (F.col("n") - F.col("k") + 4 * (1 - share))) - base, 6)
-    model = Model(round(base, 6), [], cut(sums.select("kind", "suffix", odds.alias("odds")).coalesce(1)))
-    rows = model.with_features(rows).select("label", *(F.col(f).cast("double").alias(f) for f in FEATURES))
+
+    def odds(seen: str, bad: str) -> Column:
+        return F.round(F.log((F.col(bad) + 4 * share) / (F.col(seen) - F.col(bad) + 4 * (1 - share))) - base, 6)
+
+    others = F.array(*(odds(f"n{i}", f"k{i}") for i in range(FOLDS)))
+    model = Model(round(base, 6), [], cut(sums.select("kind", "suffix", odds("n", "k").alias("odds"), others.alias("others")).coalesce(1)))
+    rows = model.with_features(rows, fold).select("label", *(F.col(f).cast("double").alias(f) for f in FEATURES))
     marks = rows.agg(*(F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 10_000).alias(f) for f in FEATURES)).first()
     edges = {f: sorted(set(marks[f])) for f in FEATURES}
     bins = F.array(*(F.struct(F.lit(f).alias("f"), sum((F.when(F.col(f) > e, 1).otherwise(0) for e in edges[f]), F.lit(0)).alias("b")) for f in FEATURES))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -42,6 +43,59 @@ def test_trees_learn_from_labelled_urls(spark):
     assert again == {i: r.score for i, r in got.items()}
 
 
+def test_trees_judge_urls_they_have_not_seen(spark):
+    rng = random.Random(8)
+
+    def url(i, bad):
+        host = "-".join(rng.choice(["win", "bet", "pill", "cash"]) for _ in range(rng.randrange(1, 4))) if bad else rng.choice(["news", "blog", "shop", "wiki"])
+        query = "&".join(f"id{k}={rng.randrange(10**6)}" for k in range(rng.randrange(4) if bad else rng.randrange(2)))
+        return f"http://{host}{rng.randrange(10**4) if bad else ''}.{rng.choice(['top', 'biz', 'net'] if bad else ['net', 'edu', 'gov'])}/{'/'.join('p' * rng.randrange(1, 6) for _ in range(rng.randrange(4)))}/{i}?{query}"
+
+    rows = [(url(i, y), int(y)) for i, y in ((i, rng.random() < 0.4) for i in range(1600))]
+    train, test = rows[:1000], rows[1000:]
+    # One in three hosts stands once: its own label must not be what the trees learn of it.
+    noise = [(f"http://once{i}.c{i}x/", int(rng.random() < 0.5)) for i in range(500)]
+    labelled = spark.createDataFrame(train + noise, "url string, label int")
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(test)] + [(-1, "http://" + "a1" * 50_000 + ".top/?" + "x=1&" * 5000), (None, None)], "page_id bigint, url string")
+    got = {r.page_id: r for r in U.judge(pages, (), labelled).collect()}
+    assert sum((got[i].verdict == "block") == bool(y) for i, (_, y) in enumerate(test)) > 0.95 * len(test)
+    assert got[-1].verdict in ("allow", "block") and got[None].host == ""
+
+
+def test_odds_of_other_folds(spark):
+    rows = [(f"http://h{i}.aa/", int(i < 4)) for i in range(10)] + [(f"http://h{i}.bb/x", 0) for i in range(10)]
+    df = spark.createDataFrame(rows, "url string, label int")
+    got = {r.suffix: r for r in U.fit(df).odds.where("kind = 'last'").collect()}["aa"]
+    fold = {r.url: r.f for r in df.selectExpr("url", f"pmod(xxhash64(3, url), {U.FOLDS}) f").collect()}
+    share, base = 4 / 20, math.log(4 / 16)
+
+    def odds(own):
+        k = sum(y for _, y in own)
+        return math.log((k + 4 * share) / (len(own) - k + 4 * (1 - share))) - base
+
+    assert got.odds == pytest.approx(odds(rows[:10]), abs=1e-5)
+    assert got.others == pytest.approx([odds([r for r in rows[:10] if fold[r[0]] != f]) for f in range(U.FOLDS)], abs=1e-5)
+
+
+def test_best_split_equals_brute_force():
+    rng = random.Random(1)
+    edges = {f: [1.0, 2.0, 3.0] for f in U.FEATURES}
+    rows = [({f: rng.randrange(4) for f in U.FEATURES}, rng.uniform(-1, 1), rng.uniform(0.1, 0.3)) for _ in range(60)]
+    sums = {}
+    for bins, g, h in rows:
+        for f, b in bins.items():
+            o = sums.get((f, b), (0.0, 0.0))
+            sums[f, b] = (o[0] + g, o[1] + h)
+    gain, f, b = U._split(sums, edges)
+
+    def part(keep):
+        own = [(g, h) for bins, g, h in rows if keep(bins)]
+        return sum(g for g, _ in own) ** 2 / (sum(h for _, h in own) + U.RIDGE)
+
+    every = {(f, b): part(lambda x, f=f, b=b: x[f] <= b) + part(lambda x, f=f, b=b: x[f] > b) - part(lambda x: True) for f in U.FEATURES for b in range(3)}
+    assert gain == pytest.approx(max(every.values())) and every[f, b] == pytest.approx(gain)
+
+
 @pytest.mark.parametrize("label", [0, 1])
 def test_one_class_or_none(spark, label):
     pages = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/")], "page_id bigint, url string")
