@@ -10,11 +10,13 @@ Calibration on sampled texts that the models have not seen: the score is a logis
 times that of the language itself not being rejected; a text is rejected if its cross-entropy is above what ``KEPT`` of its
 language's own texts reach. Rejection is a column of its own: the prediction stays the nearest learned language.
 
-Training reads the ``LANGUAGES`` most frequent languages, of each at most about ``PER_LANGUAGE`` documents, chosen by id hash, and
-at most ``CHARACTERS`` characters, so that the broadcast tables are bounded.
+Training reads every language, of each at most about ``PER_LANGUAGE`` documents, those of the smallest id hashes, and of their texts
+at most ``CHARACTERS`` characters, fewer if there are so many languages that the broadcast tables, which hold a number for each
+n-gram and language, would grow beyond about ``CELLS`` numbers. The characters are counted before anything is sent to the driver.
+More than ``LANGUAGES`` languages are an error, none is left out.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; without training rows every text is; a null id is not
-held out and not trained on; a null language is not trained on; repeated rows give repeated results; ties go to the first language
+held out and not trained on; a null language is not trained on; texts of any length are read in chunks; repeated rows give repeated results; ties go to the first language
 by code point; an empty table gives an empty result; further columns are dropped.
 """
 
@@ -24,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import crc_mod, only, packed
 
-ORDER, PER_LANGUAGE, CHARACTERS, CALIBRATE, LANGUAGES = 4, 240, 300_000, 5, 200
+ORDER, PER_LANGUAGE, CHARACTERS, CALIBRATE, LANGUAGES, CELLS = 4, 240, 300_000, 5, 1000, 400_000_000
 CHUNK = 1 << 18
 KEPT = 0.995
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -240,8 +242,8 @@ class Identifier:
         return lang, float(sure * fits), bool(b[i] > self.limit[lang])
 
 
-def train(rows: list[tuple[str, str]]) -> Identifier:
-    """rows: (text, language); every ``CALIBRATE``-th text of a language calibrates."""
+def train(rows: list[tuple[str, str]], characters: int = CHARACTERS) -> Identifier:
+    """rows: (text, language); every ``CALIBRATE``-th text of a language calibrates, of the others at most so many characters are used."""
     samples: dict[str, list] = {}
     held, used = [], {}
     for k, (text, lang) in enumerate(sorted(rows, key=lambda r: (r[1], r[0]))):
@@ -250,8 +252,8 @@ def train(rows: list[tuple[str, str]]) -> Identifier:
             continue
         if k % CALIBRATE == 0 and samples.get(lang):
             held.append((x[:20_000], lang))
-        elif used.get(lang, 0) < CHARACTERS:
-            x = x[: CHARACTERS - used.get(lang, 0)]
+        elif used.get(lang, 0) < characters:
+            x = x[: characters - used.get(lang, 0)]
             used[lang] = used.get(lang, 0) + len(x)
             samples.setdefault(lang, []).append(x)
     return Identifier(Model(samples) if samples else None, held)
@@ -260,13 +262,20 @@ def train(rows: list[tuple[str, str]]) -> Identifier:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Identifier:
     """A model from all rows of ``labelled``, sampled by id hash to about PER_LANGUAGE documents a language."""
     d = only(labelled, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where("lang is not null")
-    sizes = {r[0]: r[1] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in d.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     if not sizes:
         return Identifier(None, [])
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    most = max(400, min(CHARACTERS, CELLS // len(sizes) ** 2))
     top = 1 << 30
-    share = F.coalesce(*(F.when(F.col("lang") == s, F.lit(max(1, int(top * min(1.0, PER_LANGUAGE / n))))) for s, n in sorted(sizes.items())))
-    rows = d.where((F.pmod(F.xxhash64("doc_id"), F.lit(top)) < share) & (F.length("text") > 0)).select(F.substring("text", 1, CHARACTERS).alias("text"), "lang")
-    return train([tuple(r) for r in rows.collect()])
+    shares = d.sparkSession.createDataFrame([(s, max(1, int(top * min(1.0, PER_LANGUAGE / n)))) for s, n in sizes.items()], "lang string, share bigint")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(top))
+    few = d.where(F.length("text") > 0).join(F.broadcast(shares), "lang").where(at < F.col("share"))
+    # A language's sample is small; of it, texts are taken until the characters are used up, calibration's share on top.
+    rank = Window.partitionBy("lang").orderBy(at, "text").rowsBetween(Window.unboundedPreceding, -1)
+    few = few.withColumn("before", F.coalesce(F.sum(F.length("text")).over(rank), F.lit(0))).where(F.col("before") < 2 * most)
+    return train([tuple(r) for r in few.select(F.substring("text", 1, most).alias("text"), "lang").collect()], most)
 
 
 def predict(docs: DataFrame, identifier: Identifier, text_col: str = "text") -> DataFrame:

@@ -54,6 +54,43 @@ def test_character_model_is_a_distribution():
         assert (p.sum(0) <= 1.001).all() and (p.sum(0) > 0.4).all()
 
 
+def test_probabilities_equal_plain_kneser_ney():
+    text, probe = "banana bandana ban the band", "bandanna the x"
+    model = langid.Model({"aa": [langid.letters(text)]})
+    s = " " * 3 + text
+    grams = {n: [s[i - n + 1 : i + 1] for i in range(3, len(s))] for n in range(1, 5)}
+    counts = {n: Counter(grams[4]) if n == 4 else Counter(g[1:] for g in set(grams[n + 1])) for n in grams}
+
+    def p(n, g):
+        if n == 0:
+            return 1 / (len(set(text)) + 1)
+        own = {x: c for x, c in counts[n].items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(n - 1, g[1:])
+        one, two = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        d = one / (one + 2 * two) if one and two else 0.5
+        return max(own.get(g, 0) - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * p(n - 1, g[1:])
+
+    t = " " * 3 + probe
+    want = [np.log2(p(4, t[i - 3 : i + 1])) for i in range(3, len(t))]
+    got = model._log2(langid.padded(langid.letters(probe)))[:, 0]
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_every_language_is_learned_and_too_many_are_an_error(spark, monkeypatch):
+    rng = random.Random(9)
+    parts = [[rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)] for _ in range(60)]
+    rows = [(i, " ".join("".join(rng.choice(parts[i % 60]) for _ in range(3)) for _ in range(60)), f"l{i % 60:02d}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(langid, "CELLS", 3600 * 500)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df).collect()}
+    held = [r for r in rows if crc(r[0], 3) == 1]
+    assert set(got.values()) == {r[2] for r in rows} and np.mean([got[i] == lang for i, _, lang in held]) > 0.9
+    monkeypatch.setattr(langid, "LANGUAGES", 59)
+    with pytest.raises(ValueError, match="59 languages"):
+        langid.identify(df)
+
+
 def test_sorted_arrays_find_what_they_hold():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 2**64, 5000, dtype=np.uint64))
