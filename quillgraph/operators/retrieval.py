@@ -1,7 +1,10 @@
 """Ranked retrieval: word overlap, tf.idf, pseudo-relevance feedback over parameter grids, and average precision.
 
-Postings are long: one row a document and term. Queries meet documents by an equi-join on the term only, so documents that share no
-term with any query are never touched. Ranks use scores rounded to nine places and then the document, so that engines agree.
+A corpus is tokenised once and written; postings, statistics and document frequencies all come from what is written. Postings are
+long: one row a document and term. Queries meet documents by an equi-join on the term only, so documents that share no term with any
+query are never touched: by broadcast if the query terms are few, else by term, hot terms in parts. Runs of a grid are columns of
+one aggregation, so that postings are joined once for all of them. Ranks use scores rounded to nine places and then the document, so
+that engines agree.
 """
 
 from __future__ import annotations
@@ -15,9 +18,12 @@ from pyspark.sql import functions as F
 from quillgraph.functions.text import counter_text, tokens
 from quillgraph.storage import cut
 
-
-#: Up to so many distinct terms or ids (some 50 MB) are broadcast to pick out the postings that matter.
+#: Up to so many distinct terms, ids or query rows (some 50 MB) are broadcast.
 MOST_BROADCAST = 1_000_000
+#: Postings of a term that meet their queries in one task; terms of more are dealt out in parts.
+SPLIT = 1_000_000
+#: Runs that are summed side by side.
+WIDE = 48
 
 
 @dataclass
@@ -56,13 +62,26 @@ class Corpus:
         part = Corpus(self.sized, self.stats)
         part.__dict__["words"] = self.words.join(_small(terms.select("term").distinct()), "term", "left_semi")
         part.__dict__["postings"] = cut(part.postings)
-        part.__dict__["df"] = part.postings.groupBy("term").agg(F.count("*").alias("df"))
+        part.__dict__["df"] = cut(part.postings.groupBy("term").agg(F.count("*").alias("df")))
         return part
 
     def only(self, ids: DataFrame) -> Corpus:
         """The documents with some ids; its statistics stay those of all documents."""
         return Corpus(self.sized.join(_small(ids.select("doc_id").distinct()), "doc_id", "left_semi"), self.stats)
 
+    def meet(self, queries: DataFrame) -> DataFrame:
+        """The postings of each query row (term, ...), with its term's df and the corpus' statistics."""
+        asked = cut(queries.join(self.df, "term"))
+        if asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+            rows = self.postings.join(F.broadcast(asked), "term")
+        else:
+            # There are at most (postings / SPLIT) hot terms.
+            hot = F.broadcast(self.df.where(F.col("df") > SPLIT).withColumnRenamed("df", "_df"))
+            parts = lambda c: F.ceil(F.col(c) / SPLIT).cast("int")
+            dealt = self.postings.join(hot, "term", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("doc_id"), parts("_df")), F.lit(0)).cast("int")).drop("_df")
+            rows = dealt.join(asked.withColumn("_part", F.explode(F.sequence(F.lit(0), parts("df") - 1))), ["term", "_part"]).drop("_part")
+        return rows.crossJoin(F.broadcast(self.stats))  # one row of statistics
+
 
 def _small(df: DataFrame) -> DataFrame:
     """Written out, and marked for broadcast if it has few enough rows."""
@@ -76,31 +95,54 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Corpus:
+def corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> Corpus:
+    """The documents' words, written out unless they are needed ``once`` only."""
     # The length is known before words are exploded: no second aggregation by document.
     sized = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words")).withColumn("length", F.size("words").cast("long"))
+    sized = sized if once else cut(sized)
     stats = sized.agg(F.count("*").alias("n_docs"), F.sum("length").alias("total_length")).withColumn("avg_length", F.col("total_length") / F.col("n_docs"))
-    return Corpus(sized, stats)
+    return Corpus(sized, stats if once else cut(stats))
 
 
 def overlap(queries: DataFrame, docs: Corpus) -> DataFrame:
     """Distinct query words that a document holds; queries are (query_id, term, tf)."""
     q = queries.select("query_id", "term").distinct()
-    return docs.about(q).postings.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+    return docs.about(q).meet(q).groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
 
 
 def weight(tf: Column, length: Column, df: Column, n: Column, average: Column, k: Column) -> Column:
     return tf / (tf + k * length / average) * F.log(n / df)
 
 
-def tfidf(queries: DataFrame, docs: Corpus, k: float | Column = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sums of query weight times tf.idf for each query and document, and for each value of the columns ``by`` of the queries."""
-    k = F.lit(k) if isinstance(k, float) else k
+def _weight(k: Column) -> Column:
+    return weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), k)
+
+
+def tfidf(queries: DataFrame, docs: Corpus, k: float = 2.0) -> DataFrame:
+    """Sums of query weight times tf.idf for each query and document."""
+    queries = cut(queries)
+    rows = docs.about(queries).meet(queries)
+    return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * _weight(F.lit(k))).alias("score"))
+
+
+def tfidf_runs(queries: DataFrame, docs: Corpus, runs: list[tuple[int, float]]) -> DataFrame:
+    """(run, query_id, doc_id, score): ``queries`` are (run, query_id, term, weight), and runs give the k of each.
+
+    A document's postings meet a query's terms once for ``WIDE`` runs, whose scores are sums side by side.
+    """
     queries = cut(queries)
-    docs = docs.about(queries)
-    rows = docs.postings.join(queries, "term").join(docs.df, "term").crossJoin(F.broadcast(docs.stats))  # one row of statistics
-    w = weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), k)
-    return rows.groupBy(*by, "query_id", "doc_id").agg(F.sum(F.col("weight") * w).alias("score"))
+    docs, out = docs.about(queries), None
+    for at in range(0, len(runs), WIDE):
+        part = runs[at : at + WIDE]
+        mine = queries.where(F.col("run").isin([r for r, _ in part])) if len(runs) > WIDE else queries
+        wide = mine.groupBy("query_id", "term").agg(*(F.max(F.when(F.col("run") == r, F.col("weight"))).alias(f"w{i}") for i, (r, _) in enumerate(part)))
+        ks = sorted({k for _, k in part})
+        rows = docs.meet(wide).withColumns({f"f{j}": _weight(F.lit(k)) for j, k in enumerate(ks)})
+        sums = rows.groupBy("query_id", "doc_id").agg(*(F.sum(F.col(f"w{i}") * F.col(f"f{ks.index(k)}")).alias(f"s{i}") for i, (_, k) in enumerate(part)))
+        each = F.array(*(F.struct(F.lit(r).alias("run"), F.col(f"s{i}").alias("score")) for i, (r, _) in enumerate(part)))
+        scores = sums.select("query_id", "doc_id", F.inline(F.filter(each, lambda x: x["score"].isNotNull()))).select("run", "query_id", "doc_id", "score")
+        out = scores if out is None else out.unionByName(scores)
+    return out
 
 
 def top(scores: DataFrame, n: int | Column, by: tuple[str, ...] = (), item: str = "doc_id") -> DataFrame:
@@ -114,27 +156,29 @@ def expansion_terms(queries: DataFrame, docs: Corpus, grid: DataFrame) -> DataFr
 
     ``grid`` has run, k, n_d and n_w. Words that the corpus lacks are dropped.
     """
-    ks = grid.select("k").distinct()
+    # Ranks are taken once for each k, then every run of the grid keeps its own number of documents. A grid is small.
+    points = grid.collect()
+    ks = list(enumerate(sorted({p["k"] for p in points})))
+    by_k = grid.sparkSession.createDataFrame(ks, "which int, k double")
     queries = cut(queries)
-    first = tfidf(queries.withColumnRenamed("tf", "weight").crossJoin(F.broadcast(ks)), docs, F.col("k"), ("k",))
-    # Ranks are taken once for each k, then every run of the grid keeps its own number of documents.
-    w = Window.partitionBy("k", "query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    most = grid.agg(F.max("n_d")).first()[0]
-    best = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    picked = cut(best.join(F.broadcast(grid), "k").where("rank <= n_d").select("run", "k", "n_w", "query_id", "doc_id"))  # a grid is small
+    asked = queries.withColumnRenamed("tf", "weight").crossJoin(F.broadcast(by_k.select(F.col("which").alias("run"))))
+    first = tfidf_runs(asked, docs, ks)
+    best = top(first, max(p["n_d"] for p in points), ("run",)).select(F.col("run").alias("which"), "query_id", "doc_id", "rank")
+    best = best.join(F.broadcast(by_k), "which")
+    picked = cut(best.join(F.broadcast(grid), "k").where("rank <= n_d").select("run", "k", "n_w", "query_id", "doc_id"))
     theirs = picked.join(docs.only(picked).postings, "doc_id").select("run", "k", "n_w", "query_id", "term", "tf")
-    asked = picked.select("run", "k", "n_w", "query_id").distinct().join(queries, "query_id").select("run", "k", "n_w", "query_id", "term", "tf")
-    mega = asked.unionByName(theirs).groupBy("run", "k", "n_w", "query_id", "term").agg(F.sum("tf").alias("tf"))
+    own = picked.select("run", "k", "n_w", "query_id").distinct().join(queries, "query_id").select("run", "k", "n_w", "query_id", "term", "tf")
+    mega = own.unionByName(theirs).groupBy("run", "k", "n_w", "query_id", "term").agg(F.sum("tf").alias("tf"))
     mega = cut(mega.withColumn("length", F.sum("tf").over(Window.partitionBy("run", "query_id"))))
     scored = mega.join(docs.df_of(mega), "term").crossJoin(F.broadcast(docs.stats))
-    score = weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n_docs"), F.col("avg_length"), F.col("k"))
-    kept = top(scored.withColumn("score", score), F.col("n_w"), ("run",), "term")
+    kept = top(scored.withColumn("score", _weight(F.col("k"))), F.col("n_w"), ("run",), "term")
     return kept.select("run", "k", "query_id", "term", F.col("score").alias("weight"))
 
 
 def feedback(queries: DataFrame, docs: Corpus, grid: DataFrame) -> DataFrame:
     """(run, query_id, doc_id, score) of pseudo-relevance feedback."""
-    return tfidf(expansion_terms(queries, docs, grid), docs, F.col("k"), ("run",))
+    runs = [(r["run"], r["k"]) for r in grid.orderBy("run").collect()]
+    return tfidf_runs(expansion_terms(queries, docs, grid), docs, runs)
 
 
 def single(spark, k: float = 0.75, n_d: int = 19, n_w: int = 38) -> DataFrame:

@@ -85,10 +85,11 @@ def prf_grid_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tfidf_grid_map(spark: SparkSession, sf: str) -> DataFrame:
-    ks = spark.createDataFrame([(k,) for k in KS], "k double")
-    asked = tables.queries(spark, sf).withColumnRenamed("tf", "weight").crossJoin(F.broadcast(ks))
-    scores = retrieval.tfidf(asked, tables.corpus(spark, sf), F.col("k"), ("k",))
-    ap = retrieval.average_precision(scores, tables.relevant(spark, sf), by=("k",))
+    runs = list(enumerate(KS))
+    ks = spark.createDataFrame(runs, "run int, k double")
+    asked = tables.queries(spark, sf).withColumnRenamed("tf", "weight").crossJoin(F.broadcast(ks.select("run")))
+    scores = retrieval.tfidf_runs(asked, tables.corpus(spark, sf), runs)
+    ap = retrieval.average_precision(scores, tables.relevant(spark, sf), by=("run",)).join(F.broadcast(ks), "run")
     return ap.groupBy("k").agg(F.round(F.avg("ap"), 6).alias("map"))
 
 
@@ -101,11 +102,11 @@ def term_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.corpus(spark, sf).df
+    return tables.corpus(spark, sf, once=True).df
 
 
 def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(tables.corpus(spark, sf).stats, "avg_length")
+    return _rounded(tables.corpus(spark, sf, once=True).stats, "avg_length")
 
 
 #: Bags with counts of either sign: lines per part and per supplier, less a fixed number.

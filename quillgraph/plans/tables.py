@@ -12,8 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> retrieval.Corpus:
-    return retrieval.corpus(table(spark, sf_dir, "documents"))
+def corpus(spark: SparkSession, sf_dir: str, once: bool = False) -> retrieval.Corpus:
+    return retrieval.corpus(table(spark, sf_dir, "documents"), once=once)
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
