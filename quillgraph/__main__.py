@@ -5,9 +5,9 @@
     python -m quillgraph feedback QUERIES DOCS OUT [-k 0.75] [-d 19] [-w 38]
     python -m quillgraph search QUERIES DOCS RELEVANT OUT
     python -m quillgraph duplicates FOLDER OUT [-e] [--no-zlib] [-s 4] [-b 128] [--no-groups]
-    python -m quillgraph links EDGES OUT [--iterations 10]
+    python -m quillgraph links EDGES OUT [--iterations 10] [--known hub:NODE:0.9:1]
     python -m quillgraph network EDGES ALIASES ROLES MAIL VOCABULARY OUT [-n 8] [--more-than 4]
-    python -m quillgraph crawl PAGES OUT --seed URL --domain NAME [--robots FILES]
+    python -m quillgraph crawl PAGES OUT --seed URL --domain NAME [--robots FILES] [--obey_crawl_delay]
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions import robots, web
 from quillgraph.functions import text as T
 from quillgraph.operators import crawl, dedup, fingerprint, linkgraph, mail, plateau, retrieval
 from quillgraph.sources import readers, sinks
@@ -64,12 +63,15 @@ def duplicates(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def links(spark: SparkSession, a: argparse.Namespace) -> None:
-    edges = cut(linkgraph.edges(readers.edge_list(spark, a.edges)))
+    messages = readers.edge_list(spark, a.edges)
+    edges = cut(linkgraph.edges(messages))
     linkgraph.stats(edges).show(truncate=False)
-    sinks.score_file(linkgraph.pagerank(edges, iterations=a.iterations), f"{a.out}/pagerank")
+    linkgraph.message_runs(messages, "file", "at").show()
+    known = {k: (node, float(low), float(high)) for k, node, low, high in (x.split(":") for x in a.known)}
+    sinks.score_file(linkgraph.pagerank(edges, iterations=a.iterations), f"{a.out}/pagerank", known=known.get("pagerank"))
     both = cut(linkgraph.hits(edges, a.iterations))
     for column in ("hub", "authority"):
-        sinks.score_file(both, f"{a.out}/{column}", column)
+        sinks.score_file(both, f"{a.out}/{column}", column, known.get(column))
 
 
 def network(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -78,8 +80,8 @@ def network(spark: SparkSession, a: argparse.Namespace) -> None:
     edges = cut(linkgraph.edges(messages))
     chosen = linkgraph.interesting(edges, linkgraph.pagerank(edges), a.n)
     kept = linkgraph.two_core(linkgraph.relations(edges, chosen, a.more_than))
-    words = F.broadcast(readers.vocabulary(spark, a.vocabulary).agg(F.collect_set("word").alias("_words")))  # one row, the size of a dictionary
-    subjects = readers.mail_archive(spark, a.mail).crossJoin(words).select("msg_id", T.subject_terms(F.col("subject"), F.col("_words")).alias("terms"))
+    subjects = readers.mail_archive(spark, a.mail).select("msg_id", T.subject_terms(F.col("subject")).alias("terms"))
+    subjects = mail.known_terms(subjects, readers.vocabulary(spark, a.vocabulary))
     labelled = mail.labels(kept, linkgraph.message_ids(messages), subjects)
     people = readers.roles(spark, a.roles, known=known).select(F.col("alias").alias("email"), mail.person(F.col("alias"), F.col("extra")).alias("person"))
     for end in ("src", "dst"):
@@ -89,14 +91,12 @@ def network(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def crawl_pages(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Pages reached from the seeds over content links that the domains and robots files allow."""
-    pages = spark.read.parquet(a.pages).select("url", "html").withColumn("page_id", F.col("url"))
-    found = crawl.page_links(pages, web.links(F.col("html"))).where("in_content").select(F.col("source").alias("src"), web.resolve(F.col("href"), F.col("source")).alias("url"))
-    found = found.where(web.allowed_domain(F.col("url"), a.domain))
-    if a.robots:
-        found = robots.judge(found, spark.read.parquet(a.robots), a.agent).where("allowed")
-    seeds = spark.createDataFrame([(s,) for s in a.seed], "page_id string")
-    crawl.expand(cut(found.select("src", F.col("url").alias("dst"))), seeds).write.mode("overwrite").parquet(a.out)
+    """Fetches stored pages from the seeds on, over content links that the domains and robots files allow, and prints statistics."""
+    files = spark.read.parquet(a.robots) if a.robots else None
+    seeds = spark.createDataFrame([(s,) for s in a.seed], "url string")
+    done = crawl.loop(seeds, crawl.stored(spark.read.parquet(a.pages)), a.domain, files, a.agent, obey_delay=a.obey_crawl_delay)
+    crawl.report(done, a.domain).show(1000, truncate=False)
+    done.pages.write.mode("overwrite").parquet(a.out)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -122,7 +122,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-s", "--distance", type=int, default=4)
     p.add_argument("-b", "--bits", type=int, default=128)
     p.add_argument("--no-groups", dest="groups", action="store_false")
-    add("links", links, "edges", "out").add_argument("--iterations", type=int, default=10)
+    p = add("links", links, "edges", "out")
+    p.add_argument("--iterations", type=int, default=10)
+    p.add_argument("--known", action="append", default=[], metavar="SCORES:NODE:LOW:HIGH", help="write no such scores unless the node's lies between")
     p = add("network", network, "edges", "aliases", "roles", "mail", "vocabulary", "out")
     p.add_argument("-n", type=int, default=8)
     p.add_argument("--more-than", type=int, default=4)
@@ -131,12 +133,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--domain", action="append", required=True)
     p.add_argument("--robots")
     p.add_argument("--agent", default="quillgraph")
+    p.add_argument("--obey_crawl_delay", "--obey-crawl-delay", action="store_true")
     return top
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(args)
-    a.run(spark or SparkSession.builder.appName("quillgraph").getOrCreate(), a)
+    a.run(spark or SparkSession.builder.appName("quillgraph").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate(), a)
 
 
 if __name__ == "__main__":

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.components import components, join_hot
 from quillgraph.operators.fingerprint import differing_digits, hamming
 from quillgraph.storage import cut
 
@@ -84,6 +85,35 @@ def near_pairs(prints: DataFrame, digits: int = 32, distance: int = 4, bands: bo
     return out
 
 
+def near_classes(prints: DataFrame, digits: int = 32, distance: int = 4, bands: bool = True) -> DataFrame:
+    """(id, class_id, links) of documents with a match: the smallest id reachable over matches, and how many documents match.
+
+    Classes come from matches of distinct fingerprints, so no pair of copies is ever listed. Empty fingerprints match nothing in
+    bands; in bits they match every document, which are one class then.
+    """
+    prints = cut(prints.select("id", "print")).where("print is not null")
+    total = prints.count()
+    empty = 0 if bands else prints.where("print = ''").count()
+    same = prints.where("print <> ''")
+    distinct = cut(same.groupBy("print").agg(F.min("id").alias("own"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    matched = near_matches(distinct, digits, distance, bands)
+    ends = [distinct.select(F.col("print").alias(c), F.col("node").alias(f"{c}_node"), F.col("n").alias(f"{c}_n")) for c in "ab"]
+    pairs = cut(matched.join(ends[0], "a").join(ends[1], "b").select("a_node", "b_node", "a_n", "b_n"))
+    others = pairs.select(F.col("a_node").alias("node"), F.col("b_n").alias("m")).unionByName(pairs.select(F.col("b_node").alias("node"), F.col("a_n").alias("m")))
+    root = components(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    each = distinct.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = cut(each.join(others.groupBy("node").agg(F.sum("m").alias("m")), "node", "left").select("print", "own", "n", "root", (F.col("n") - 1 + F.coalesce("m", F.lit(0)) + empty).alias("links")))
+    least = each.groupBy("root").agg(F.min("own").alias("class_id"), F.count("*").alias("n"))
+    named = join_hot(each.select("print", "root", "links", F.col("n").alias("docs")), least, ["root"], each.count()).where("links > 0")
+    if empty:
+        first = prints.agg(F.min("id")).first()[0]
+        named = named.withColumn("class_id", F.lit(first))
+    out = join_hot(same, cut(named.select("print", "class_id", "links", F.col("docs").alias("n"))), ["print"], total).select("id", "class_id", "links")
+    if empty and total > 1:
+        out = out.unionByName(prints.where("print = ''").select("id", F.lit(first).alias("class_id"), F.lit(total - 1).cast("long").alias("links")))
+    return out
+
+
 def pair_lines(pairs: DataFrame) -> DataFrame:
     """Lines of a pair file, smaller id first, in order."""
     return pairs.orderBy("id_a", "id_b").select(F.concat_ws("-", F.col("id_a").cast("string"), F.col("id_b").cast("string")).alias("line"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.text import body_words
 from quillgraph.operators.retrieval import corpus, weight
 
 
@@ -36,9 +37,21 @@ def description(p: Column) -> Column:
     return F.concat(name, F.lit("\\n("), inner, F.lit(")"))
 
 
-def with_people(nodes: DataFrame, people: DataFrame) -> DataFrame:
-    """(node, name, job, extra); nodes that no role line names get their default name."""
-    blank = person(F.col("node"), F.lit(None).cast("string"))
+def known_terms(subjects: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(msg_id, terms): the terms that the vocabulary (word) has, in their order; subjects without any are left out."""
+    each = subjects.select("msg_id", F.posexplode("terms").alias("at", "word")).join(vocabulary.select("word"), "word", "left_semi")
+    return each.groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("x")).select("msg_id", F.col("x.word").alias("terms"))
+
+
+def known_body_words(mails: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(msg_id, word, n): words of the bodies that the vocabulary (word) has and that are not digits only."""
+    each = mails.select("msg_id", F.explode(body_words(F.col("body"))).alias("word")).join(vocabulary.select("word"), "word", "left_semi")
+    return each.groupBy("msg_id", "word").agg(F.count("*").alias("n"))
+
+
+def with_people(nodes: DataFrame, people: DataFrame, address: Column | None = None) -> DataFrame:
+    """(node, name, job, extra); nodes that no role line names get the default name of their address, which is the node itself unless given."""
+    blank = person(F.col("node") if address is None else address, F.lit(None).cast("string"))
     got = nodes.join(people.select(F.col("email").alias("node"), "person"), "node", "left").withColumn("person", F.coalesce("person", blank))
     return got.select("node", "person.*")
 

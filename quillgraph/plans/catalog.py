@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import duplicate_queries, graph_queries, retrieval_queries, web_queries
+from quillgraph.plans import duplicate_queries, file_queries, graph_queries, retrieval_queries, web_queries
 
-_ALL = retrieval_queries.QUERIES | duplicate_queries.QUERIES | graph_queries.QUERIES | web_queries.QUERIES
+_ALL = retrieval_queries.QUERIES | duplicate_queries.QUERIES | graph_queries.QUERIES | web_queries.QUERIES | file_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -143,6 +143,22 @@ def near_dup_lines(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.pair_lines(near_dups_bands(spark, sf))
 
 
+def near_classes_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.near_classes(_prints(spark, sf))
+
+
+def near_classes_hamming(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.near_classes(_prints(spark, sf), bands=False)
+
+
+def plateau_classes_bands(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.near_classes(_plateau_prints(spark, sf))
+
+
+def plateau_classes_hamming(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.near_classes(_plateau_prints(spark, sf), bands=False)
+
+
 def plateau_spans(spark: SparkSession, sf: str) -> DataFrame:
     return plateau.spans(_numeric(spark, sf)).withColumn("plateau", F.array_join("plateau", " "))
 
@@ -162,6 +178,12 @@ def plateau_dups_hamming(spark: SparkSession, sf: str) -> DataFrame:
 _PAIRS = "SELECT a.id AS id_a, b.id AS id_b FROM {0} a JOIN {0} b ON a.{1} = b.{1} AND a.id < b.id"
 _PLATEAUS = f"{SPEECHES}, numeric_texts AS (SELECT id, words FROM speeches), {PLATEAU}, plateaus AS (SELECT id, plateau AS words FROM spans)"
 
+#: Classes of pairs: the smallest id reachable and the number of partners of each.
+CLASSES = """
+both AS (SELECT id_a AS id, id_b AS other FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reach(id, node) AS (SELECT DISTINCT id, id FROM both UNION SELECT reach.id, both.other FROM reach JOIN both ON both.id = reach.node)
+SELECT id, class_id, links FROM (SELECT id, min(node) AS class_id FROM reach GROUP BY id) JOIN (SELECT id, count(*) AS links FROM both GROUP BY id) USING (id)"""
+
 QUERIES = {
     "clean_text": (clean_text, f"WITH {CLEAN} SELECT doc_id, clean FROM clean"),
     "adler32": (adler32, f"WITH {ADLER} SELECT doc_id, (high * 65536 + low)::BIGINT AS adler, CASE WHEN high >= 32768 THEN high * 65536 + low - 4294967296 ELSE high * 65536 + low END::BIGINT AS signed FROM sums"),
@@ -175,7 +197,11 @@ QUERIES = {
     "near_dups_bands": (near_dups_bands, f"WITH {SPEECHES}, {prints_sql('speeches')}, {BANDS} SELECT * FROM pairs"),
     "near_dups_hamming": (near_dups_hamming, f"WITH {SPEECHES}, {prints_sql('speeches')}, {BITS} SELECT * FROM pairs"),
     "near_dup_lines": (near_dup_lines, f"WITH {SPEECHES}, {prints_sql('speeches')}, {BANDS} SELECT id_a || '-' || id_b AS line FROM pairs"),
+    "near_classes_bands": (near_classes_bands, f"WITH RECURSIVE {SPEECHES}, {prints_sql('speeches')}, {BANDS}, {CLASSES}"),
+    "near_classes_hamming": (near_classes_hamming, f"WITH RECURSIVE {SPEECHES}, {prints_sql('speeches')}, {BITS}, {CLASSES}"),
     "plateau_spans": (plateau_spans, f"WITH {NUMERIC}, {PLATEAU} SELECT id, score::BIGINT AS score, a::INT AS a, b::INT AS b, array_to_string(plateau, ' ') AS plateau FROM spans"),
     "plateau_dups_bands": (plateau_dups_bands, f"WITH {_PLATEAUS}, {prints_sql('plateaus')}, {BANDS} SELECT * FROM pairs"),
     "plateau_dups_hamming": (plateau_dups_hamming, f"WITH {_PLATEAUS}, {prints_sql('plateaus')}, {BITS} SELECT * FROM pairs"),
+    "plateau_classes_bands": (plateau_classes_bands, f"WITH RECURSIVE {_PLATEAUS}, {prints_sql('plateaus')}, {BANDS}, {CLASSES}"),
+    "plateau_classes_hamming": (plateau_classes_hamming, f"WITH RECURSIVE {_PLATEAUS}, {prints_sql('plateaus')}, {BITS}, {CLASSES}"),
 }

@@ -136,8 +136,7 @@ def dot_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def subject_terms(spark: SparkSession, sf: str) -> DataFrame:
-    c = tables.table(spark, sf, "conversations").where("turn = 0")
-    return c.select("conv_id", F.array_join(T.subject_terms(F.col("text")), " ").alias("terms"))
+    return tables.table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(T.subject_terms(F.col("text")), " ").alias("terms"))
 
 
 def _extra() -> F.Column:
@@ -179,7 +178,7 @@ QUERIES = {
     "relations_2core": (relations_2core, f"WITH {ALIASED}, relations AS (SELECT src, dst, mult FROM alias_edges WHERE mult > 11), {two_core_sql()} SELECT * FROM k30"),
     "relation_labels": (relation_labels, f"{_G}, {LABELS} SELECT src, dst, label FROM labelled"),
     "dot_lines": (dot_lines, f"{_G}, {LABELS} SELECT 'digraph G {{' AS line UNION ALL SELECT '\"' || src || '\" -> \"' || dst || '\" [label = \"' || label || '\"];' FROM labelled UNION ALL SELECT '}}'"),
-    "subject_terms": (subject_terms, f"SELECT conv_id, CASE WHEN len(t) > 0 THEN array_to_string(t, ' ') END AS terms FROM (SELECT conv_id, {_terms_sql('text')} AS t FROM conversations WHERE turn = 0)"),
+    "subject_terms": (subject_terms, f"SELECT conv_id, turn, CASE WHEN len(t) > 0 THEN array_to_string(t, ' ') END AS terms FROM (SELECT conv_id, turn, {_terms_sql('text')} AS t FROM conversations)"),
     "person_descriptions": (
         person_descriptions,
         r"""WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'Customer ' || c_name[10:] ELSE c_name END AS name,

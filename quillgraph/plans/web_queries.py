@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from quillgraph.functions import robots, web
 from quillgraph.operators import crawl
 from quillgraph.plans import tables
+from quillgraph.storage import folder
 from quillgraph.streaming import crawl_stream
 
 #: The pages have no content comments; their navigation stands for the content.
 OPEN, CLOSE = "<nav>", "</nav>"
 #: The domains that the crawl keeps to are those of most pages.
 KEPT_DOMAINS = 5
+#: The loop keeps to more of them, and starts from every so many pages.
+LOOP_DOMAINS, SEEDS = 40, 10
 AGENT = "quillbot"
-#: Robots files by the top of the domain: (top, status, body).
+#: Robots files by the top of the domain: (top, status, body); one path is escaped.
 FILES = (
-    ("com", 200, "User-agent: *\nDisallow: /de/\nDisallow: /*.html$\n"),
+    ("com", 200, "User-agent: *\nDisallow: /d%65/\nDisallow: /*.html$\n"),
     ("org", 200, "User-agent: other\nDisallow: /\n\nUser-agent: QUILL # us\nAllow: /en/1\nDisallow: /en/\nCrawl-delay: 2\n"),
     ("net", 403, None),
 )
@@ -56,8 +59,8 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return domains.withColumn("top", F.element_at(F.split("domain", r"\."), -1)).join(F.broadcast(kinds), "top").select("domain", "status", "body")  # three rows
 
 
-def _domains(spark: SparkSession, sf: str) -> list[str]:
-    rows = _pages(spark, sf).groupBy(web.authority(F.col("url")).alias("domain")).count().orderBy(F.desc("count"), "domain").limit(KEPT_DOMAINS)
+def _domains(spark: SparkSession, sf: str, n: int = KEPT_DOMAINS) -> list[str]:
+    rows = _pages(spark, sf).groupBy(web.authority(F.col("url")).alias("domain")).count().orderBy(F.desc("count"), "domain").limit(n)
     return [r["domain"] for r in rows.collect()]
 
 
@@ -144,28 +147,67 @@ def crawl_delay_gaps(spark: SparkSession, sf: str) -> DataFrame:
 def stream_dedup_urls(spark: SparkSession, sf: str) -> DataFrame:
     pages = crawl_stream.read(spark, f"{sf}/pages.parquet")
     urls = crawl.page_links(pages, web.plain_links(F.col("html"), OPEN, CLOSE)).select(F.col("href").alias("url"))
-    return crawl_stream.append(crawl_stream.new_urls(urls), crawl_stream.folder(spark))
+    return crawl_stream.append(crawl_stream.new_urls(urls), folder(spark, "stream"))
 
 
 def stream_crawl_counters(spark: SparkSession, sf: str) -> DataFrame:
     events = crawl_stream.read(spark, f"{sf}/events.parquet")
-    return crawl_stream.latest(crawl_stream.counters(events, F.col("event_type"), F.col("value").cast("decimal(18,2)")), crawl_stream.folder(spark)).withColumn("total", F.col("total").cast("double"))
+    return crawl_stream.latest(crawl_stream.counters(events, F.col("event_type"), F.col("value").cast("decimal(18,2)")), folder(spark, "stream")).withColumn("total", F.col("total").cast("double"))
 
 
 def stream_crawl_delay(spark: SparkSession, sf: str) -> DataFrame:
     events = crawl_stream.read(spark, f"{sf}/events.parquet")
-    return crawl_stream.append(crawl_stream.admit(events, "user_id", "ts", 600.0), crawl_stream.folder(spark))
+    got = crawl_stream.append(crawl_stream.admit(events, "user_id", "ts", 600.0), folder(spark, "stream"))
+    return got.select("user_id", F.unix_micros("ts").alias("ts_us"), "admitted")
 
 
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows that have closed by the end of the input."""
     events = crawl_stream.read(spark, f"{sf}/events.parquet")
-    return crawl_stream.append(crawl_stream.windowed(events, "ts", "event_type"), crawl_stream.folder(spark))
+    got = crawl_stream.append(crawl_stream.windowed(events, "ts", "event_type"), folder(spark, "stream"))
+    return got.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "event_type", "n")
+
+
+#: The pages as a web of their own: each links to two others by their URLs, and to one that does not exist.
+def _web(spark: SparkSession, sf: str) -> DataFrame:
+    pages = _pages(spark, sf).groupBy("page_id").agg(F.min("url").alias("url"))
+    links = _numbered(spark, sf).join(pages.select(F.col("page_id").alias("dst"), F.col("url").alias("to")), "dst").select("src", "to")
+    gone = pages.where("page_id % 5 = 0").select(F.col("page_id").alias("src"), F.concat("url", F.lit("/gone")).alias("to"))
+    anchors = links.unionByName(gone).groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="'), "to", F.lit('">x</a>')))), "").alias("a"))
+    html = F.concat(F.lit("<html><nav>"), F.coalesce("a", F.lit("")), F.lit("</nav>"), F.when(F.col("page_id") % 11 == 0, "<p").otherwise("<p>"))
+    return pages.join(anchors, F.col("page_id") == F.col("src"), "left").select("url", html.alias("html"))
+
+
+def _crawled(spark: SparkSession, sf: str, **options: bool) -> crawl.Crawl:
+    seeds = _pages(spark, sf).where(F.col("page_id") % SEEDS == 0).select("url")
+    return crawl.loop(seeds, crawl.stored(_web(spark, sf)), _domains(spark, sf, LOOP_DOMAINS), _files(spark, sf), AGENT, web.plain_links(F.col("html"), OPEN, CLOSE), **options)
+
+
+def crawl_loop(spark: SparkSession, sf: str) -> DataFrame:
+    return _crawled(spark, sf).pages.select("url", "round", "status", "malformed")
+
+
+def crawl_loop_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl.report(_crawled(spark, sf), _domains(spark, sf, LOOP_DOMAINS))
+
+
+def crawl_loop_times(spark: SparkSession, sf: str) -> DataFrame:
+    """When each page is fetched if the delays are kept to."""
+    return _crawled(spark, sf, obey_delay=True).pages.select("url", "at")
 
 
 _DOMAINS = f"SELECT domain FROM (SELECT {HOST.format('url')} AS domain, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, domain LIMIT {KEPT_DOMAINS})"
 _STATS = [("content urls", "in_content"), ("other urls", "NOT in_content"), ("off-domain urls", "in_content AND off"), ("private urls", "in_content AND NOT off AND NOT allowed")]
 
+NUMBER = "try_cast(list_last(string_split(split_part({}, '.', 1), '/')) AS BIGINT)"
+WEB = f"""n AS (SELECT count(*) AS n FROM pages), own AS (SELECT page_id, min(url) AS url FROM pages GROUP BY 1), kept AS ({_DOMAINS.replace(f"LIMIT {KEPT_DOMAINS}", f"LIMIT {LOOP_DOMAINS}")}),
+web AS (SELECT url, min(page_id % 11 = 0) AS malformed FROM own GROUP BY url),
+made AS (SELECT page_id AS src, unnest([(page_id * 7 + 1) % n, (page_id * 3 + 2) % n]) AS dst FROM pages CROSS JOIN n),
+pairs AS (SELECT a.url AS src, b.url AS dst FROM made JOIN own a ON a.page_id = made.src JOIN own b ON b.page_id = made.dst UNION ALL SELECT url, url || '/gone' FROM own WHERE page_id % 5 = 0),
+links AS MATERIALIZED (SELECT src, dst, {HOST.format('dst')} NOT IN (SELECT domain FROM kept) AS off, {_allowed_sql('dst')} AS allowed FROM pairs)"""
+WALK = f"""walk(url, round) AS (SELECT url, 0 FROM own WHERE page_id % {SEEDS} = 0 UNION SELECT dst, round + 1 FROM walk JOIN links ON src = walk.url AND NOT off AND allowed WHERE round < 60),
+reached AS (SELECT walk.url, min(round)::INT AS round, CASE WHEN any_value(web.url) IS NULL THEN 404 ELSE 200 END AS status, coalesce(bool_or(malformed), false) AS malformed FROM walk LEFT JOIN web ON web.url = walk.url GROUP BY walk.url)"""
+
 LINKS = f"""WITH tags AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'g'), '<nav>|</nav>|<a href="[^"]*">')) AS tag, generate_subscripts(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'g'), '<nav>|</nav>|<a href="[^"]*">'), 1) AS n FROM pages),
 said AS (SELECT page_id, n, tag, last_value(CASE WHEN tag = '<nav>' THEN true WHEN tag = '</nav>' THEN false END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY n) AS inside FROM tags)
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INT AS pos, tag[10:-3] AS href, coalesce(inside, false) AS in_content FROM said WHERE starts_with(tag, '<a ')"""
@@ -205,6 +247,25 @@ SELECT x, observed, round(100 * pow(x, 0.4), 6) AS expected FROM (SELECT row_num
     "crawl_delay_gaps": (crawl_delay_gaps, "SELECT event_id, round(gap, 6) AS gap, coalesce(gap >= 600, true) AS kept FROM (SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap FROM events)"),
     "stream_dedup_urls": (stream_dedup_urls, f"WITH {PLAIN} SELECT DISTINCT href AS url FROM links"),
     "stream_crawl_counters": (stream_crawl_counters, "SELECT event_type AS counter, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY 1"),
-    "stream_crawl_delay": (stream_crawl_delay, None),
-    "stream_windows": (stream_windows, None),
+    "stream_crawl_delay": (
+        stream_crawl_delay,
+        """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us FROM events), admitted(user_id, us) AS (SELECT user_id, min(us) FROM e GROUP BY user_id
+UNION ALL SELECT a.user_id, min(e.us) FROM admitted a JOIN e ON e.user_id = a.user_id AND e.us >= a.us + 600000000 GROUP BY a.user_id)
+SELECT user_id, us AS ts_us, n = 1 AND EXISTS (SELECT 1 FROM admitted a WHERE a.user_id = x.user_id AND a.us = x.us) AS admitted FROM (SELECT user_id, us, row_number() OVER (PARTITION BY user_id, us) AS n FROM e) x""",
+    ),
+    # All events come in one batch, after which windows that end by ten minutes before the last event are closed.
+    "stream_windows": (
+        stream_windows,
+        """WITH e AS (SELECT epoch_us(ts) AS us, event_type FROM events), w AS (SELECT us - us % 3600000000 AS start_us, event_type, count(*) AS n FROM e GROUP BY ALL)
+SELECT start_us, start_us + 3600000000 AS end_us, event_type, n FROM w WHERE start_us + 3600000000 <= (SELECT max(us) - 600000000 FROM e)""",
+    ),
+    "crawl_loop": (crawl_loop, f"WITH RECURSIVE {WEB}, {WALK} SELECT url, round, status, malformed FROM reached"),
+    "crawl_loop_stats": (
+        crawl_loop_stats,
+        f"""WITH RECURSIVE {WEB}, {WALK}, followed AS (SELECT true AS in_content, dst AS url, off, allowed FROM links WHERE src IN (SELECT url FROM reached WHERE status = 200))
+SELECT 'pages' AS stat, count(*) AS value FROM reached UNION ALL SELECT 'urls', count(*) FROM followed"""
+        + "".join(f" UNION ALL SELECT '{n}', count(*) FROM followed WHERE {w} UNION ALL SELECT 'distinct {n}', count(DISTINCT url) FROM followed WHERE {w}" for n, w in _STATS)
+        + " UNION ALL SELECT 'error ' || status, count(*) FROM reached WHERE status <> 200 GROUP BY 1 UNION ALL SELECT 'parse errors', count(*) FROM reached WHERE malformed",
+    ),
+    "crawl_loop_times": (crawl_loop_times, f"WITH RECURSIVE {WEB}, {WALK}, ranked AS (SELECT url, round, {HOST.format('url')} AS host, row_number() OVER (PARTITION BY {HOST.format('url')} ORDER BY round, {NUMBER.format(PATH.format('url'))} DESC NULLS LAST, url) - 1 AS before FROM reached) SELECT url, CASE WHEN host LIKE '%.org' THEN 2.0 * before ELSE 0 END::DOUBLE AS at FROM ranked"),
 }

@@ -6,21 +6,12 @@ their checkpoint.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def read(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """A stream over Parquet files with the schema that they have now."""
     schema = spark.read.parquet(path).schema
