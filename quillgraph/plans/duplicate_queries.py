@@ -180,9 +180,9 @@ _PLATEAUS = f"{SPEECHES}, numeric_texts AS (SELECT id, words FROM speeches), {PL
 
 #: Classes of pairs: the smallest id reachable and the number of partners of each.
 CLASSES = """
-both AS (SELECT id_a AS id, id_b AS other FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
-reach(id, node) AS (SELECT DISTINCT id, id FROM both UNION SELECT reach.id, both.other FROM reach JOIN both ON both.id = reach.node)
-SELECT id, class_id, links FROM (SELECT id, min(node) AS class_id FROM reach GROUP BY id) JOIN (SELECT id, count(*) AS links FROM both GROUP BY id) USING (id)"""
+meet AS (SELECT id_a AS id, id_b AS other FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+reach(id, node) AS (SELECT DISTINCT id, id FROM meet UNION SELECT reach.id, meet.other FROM reach JOIN meet ON meet.id = reach.node)
+SELECT id, class_id, links FROM (SELECT id, min(node) AS class_id FROM reach GROUP BY id) JOIN (SELECT id, count(*) AS links FROM meet GROUP BY id) USING (id)"""
 
 QUERIES = {
     "clean_text": (clean_text, f"WITH {CLEAN} SELECT doc_id, clean FROM clean"),
