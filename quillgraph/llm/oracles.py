@@ -55,8 +55,8 @@ WITH templates AS ({_templates()}),
 texts AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM documents),
 units AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(t, chr(10)), string_split_regex(t, '\n\n+'), [t]))) AS unit FROM texts),
 worded AS (SELECT doc_id, unit, list_filter(string_split_regex(unit, '[ \n]'), lambda w: w <> '') AS w FROM units),
-paired AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM worded WHERE len(w) BETWEEN 2 AND 1000),
-scored AS (SELECT doc_id, unit, i, name, 2.0::DOUBLE * len(list_intersect(p.grams, t.grams)) / (len(p.grams) + len(t.grams)) AS dice FROM paired p JOIN templates t ON len(p.grams) BETWEEN len(t.grams) * 0.5 AND len(t.grams) * 2),
+paired AS (SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM worded WHERE len(w) >= 2),
+scored AS (SELECT doc_id, unit, i, name, 2.0::DOUBLE * len(list_intersect(p.grams, t.grams)) / (len(p.grams) + len(t.grams)) AS dice FROM paired p CROSS JOIN templates t),
 best AS (SELECT * FROM scored WHERE dice >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, i) = 1),
 top AS (SELECT doc_id, first(name ORDER BY dice DESC, i) AS license, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n_units FROM best GROUP BY doc_id)
 SELECT d.doc_id, license, dice, coalesce(licenses, '') AS licenses, coalesce(n_units, 0) AS n_units FROM documents d LEFT JOIN top USING (doc_id)

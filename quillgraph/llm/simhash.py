@@ -19,7 +19,7 @@ that nearly all shingles agree on. A key is made of the most decided bit, its pl
 fingerprints are collapsed over all lanes first; those of a key are linked if they differ in at most ``most`` bits of all lanes.
 
 Hot keys: keys of more than ``CELL`` fingerprints, as estimated from a sample (which steers the splitting only), are dealt out as
-pairs of shards. Hot nodes and hot groups meet their rows by a broadcast of fewer than ``HOT`` rows.
+pairs of shards. Hot nodes and hot groups meet their rows by a broadcast of fewer than 1000 rows.
 
 Components: alternating large and small stars over the links, each round in the shared checkpoint folder.
 
@@ -43,12 +43,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import cut, only, packed
+from quillgraph.operators.components import components, join_hot
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of one key that one task indexes at once; fan-out of the tree; queries that descend together, and pairs that they may hold.
 CELL, FAN, QUERIES, HELD = 1 << 18, 8, 512, 1 << 22
-#: A key, node or group of more than one in so many rows, and of more than a few, is joined apart.
-HOT, FEW = 1000, 100
 #: Rows to gather before keys are compared, all at once.
 BUFFER = 1 << 16
 #: Neighbours in Gray order that are compared before the tree is descended, so that large groups of near copies are one group early.
@@ -331,36 +330,6 @@ def forest(distinct: DataFrame, radius: int, lanes: int = 1, most: int = 64, cel
     return dealt.mapInArrow(_forest(Links(radius if lanes == 1 else most), lanes, masks, node), "a bigint, b bigint").distinct()
 
 
-def _join_hot(rows: DataFrame, table: DataFrame, key: list[str], total: int) -> DataFrame:
-    """``rows`` with the columns of ``table``, which has one row a key and in ``n`` how many of ``rows`` have it.
-
-    Keys of more than one in HOT of ``total`` rows, of which there are fewer than HOT, come by broadcast, all others by the key.
-    """
-    often = F.col("n") > max(FEW, total // HOT)
-    hot, cold = F.broadcast(table.where(often).drop("n")), table.where(~often).drop("n")
-    rest = rows.join(hot.select(*key), key, "left_anti").join(cold, key)
-    return rows.join(hot, key).unionByName(rest)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b), root being the smallest node reachable."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    n, seen = e.count(), None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _join_hot(both.where("v > u"), low, ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _join_hot(large, low, ["u"], n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        n, seen = state[0], state
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def _placed(d: DataFrame, marks: tuple[str, ...], radius: int, lanes: int, most: int, cell: int) -> DataFrame:
     """The rows of ``d``, which has the ``columns`` of fingerprints, with the least value of each mark in the row's component as least_<mark>."""
     x = [f"x{i}" for i in range(lanes)]
@@ -371,9 +340,9 @@ def _placed(d: DataFrame, marks: tuple[str, ...], radius: int, lanes: int, most:
     root = components(forest(distinct, radius, lanes, most, cell))
     linked = cut(distinct.join(root, "node").select("node", "root", *(f"own_{m}" for m in marks)))
     least = linked.groupBy("root").agg(*(F.min(f"own_{m}").alias(f"least_{m}") for m in marks), F.count("*").alias("n"))
-    linked = _join_hot(linked.select("node", "root"), least, ["root"], linked.count()).drop("root")
+    linked = join_hot(linked.select("node", "root"), least, ["root"], linked.count()).drop("root")
     named = distinct.join(linked, "node", "left").select(*x, "n", *(F.coalesce(f"least_{m}", f"own_{m}").alias(f"least_{m}") for m in marks))
-    return _join_hot(d.drop(*columns(lanes)[lanes:]), cut(named), x, d.count())
+    return join_hot(d.drop(*columns(lanes)[lanes:]), cut(named), x, d.count())
 
 
 def _marked(docs: DataFrame, text: Column, shingle: int, lanes: int, *kept: Column) -> DataFrame:

@@ -35,10 +35,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import crc_mod, only
+from quillgraph.llm.common import crc_mod, cut, only
 
 TOXIC, ORDINARY, LONGEST, CHARACTERS = 3000, 6000, 20_000, 16_000_000
 WORDS, LENGTHS, CAP = 6, (6, 7, 8), 2048
@@ -249,12 +249,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = [tuple(r) for label, n in ((1, TOXIC), (0, ORDINARY)) for r in y.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
     few = spark.createDataFrame(ids, y.schema)  # at most TOXIC + ORDINARY rows
     d = only(docs, id_col, text_col).toDF("doc_id", "text").where(F.length("text").between(1, LONGEST)).join(F.broadcast(few), "doc_id")
-    # An id may stand in any number of rows: one row of each text, then as many as the bounds allow.
-    d = d.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"), F.min(F.xxhash64("doc_id")).alias("at"))
-    rank = Window.partitionBy("label").orderBy("at", "h")
-    kept = d.withColumn("row", F.row_number().over(rank)).withColumn("far", F.sum(F.length("text")).over(rank))
-    kept = kept.where(f"row <= {TOXIC + ORDINARY} and far <= {CHARACTERS}")
-    return train([(r[0], r[1]) for r in kept.select("text", "label").collect()])
+    # An id may stand in any number of rows: one row of each text, then those of the smallest hashes, as many as the bounds allow.
+    d = cut(d.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.first("text").alias("text"), F.min(F.xxhash64("doc_id")).alias("at")))
+    kept = []
+    for label, n in ((1, TOXIC), (0, ORDINARY)):
+        far = 0
+        for r in d.where(F.col("label") == label).select("h", F.length("text").alias("n"), "at").orderBy("at", "h").limit(n).collect():
+            far += r["n"]
+            if far <= CHARACTERS:
+                kept.append((r["h"], label))
+    kept = spark.createDataFrame(kept, "h bigint, label int")  # at most TOXIC + ORDINARY rows
+    return train([(r[0], r[1]) for r in d.join(F.broadcast(kept), ["h", "label"]).select("text", "label").collect()])
 
 
 def score_column(docs: DataFrame, model: Model, text: Column) -> Column:

@@ -121,6 +121,19 @@ def test_licenses_equal_brute_force(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def test_marked_words_stand_in_more_bigrams_than_may_be_missing():
+    rng = random.Random(4)
+    for _, text in licenses.TEMPLATES:
+        grams = licenses.bigrams_of(licenses.normal_words(text))
+        words = set(licenses.marked_words(grams, 0.8))
+        plain = [g for g in grams if not words & set(g.split(" "))]
+        assert 2 * len(plain) / (len(plain) + len(grams)) < 0.8  # what is left without marked words cannot reach the coefficient
+        for _ in range(20):
+            kept = rng.sample(grams, rng.randrange(1, len(grams) + 1))
+            if 2 * len(kept) / (len(kept) + len(grams)) >= 0.8:
+                assert words & {w for g in kept for w in g.split(" ")}
+
+
 def test_licenses_repeated_in_one_long_unit(spark):
     w = licenses.TEMPLATES[8][1].split()
     notice = "\n".join(" ".join(w[i : i + 10]) for i in range(0, len(w), 10))
