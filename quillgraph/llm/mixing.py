@@ -8,7 +8,8 @@ is found digit by digit from grouped sums, so no document list is ever sorted or
 hash are taken in part (like a loader that stops inside a document), which keeps the total within a word per such document.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; equal rows are treated alike; an empty
-table gives an empty result; without words all targets are 0; further columns are dropped. The number of distinct patterns must be
+table gives an empty result; without words all targets are 0; texts of any length count by their words; null ids share a hash;
+further columns are dropped. The number of distinct patterns must be
 at most ``MOST_PATTERNS`` (an error otherwise, nothing is dropped): it depends on how sources are named, not on the corpus' size.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.llm.common import WORD, cut, only
+from quillgraph.operators.components import join_hot
 
 MOST_PATTERNS = 100_000
 #: Tables of one short row per pattern are broadcast up to this many rows, under 2 MB.
@@ -105,10 +107,10 @@ def _hash(seed: int, doc_id: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 64 - DIGIT_BITS * DIGITS)
 
 
-def _keys(sources: Column, doc_id: Column, text: Column, seed: int) -> list[Column]:
+def _keys(sources: Column, doc_id: Column, size: Column, seed: int) -> list[Column]:
     """_pattern, _size and _hash of a document."""
     pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array()))))
-    return [pattern.alias("_pattern"), words(text).alias("_size"), _hash(seed, doc_id).alias("_hash")]
+    return [pattern.alias("_pattern"), size.alias("_size"), _hash(seed, doc_id).alias("_hash")]
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -163,14 +165,14 @@ def taken() -> Column:
     return (F.col("full") * F.col("_size") + extra).cast("long")
 
 
-def mix(docs: DataFrame, quotas: Callable[[dict], dict], sources: Column, id_col: str = "doc_id", text_col: str = "text", repeats: int = 2, seed: int = 17, keep: bool = False) -> DataFrame:
-    """One row per document: doc_id, _pattern, size, taken. ``sources`` is an array of the sources that hold the document.
+def mix(docs: DataFrame, quotas: Callable[[dict], dict], sources: Column, id_col: str = "doc_id", text_col: str = "text", repeats: int = 2, seed: int = 17, keep: bool = False, size: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, _pattern, size, taken, and columns to carry. ``sources`` is an array of the sources that hold the document.
 
     ``quotas`` maps the words of each source to the words wanted from it. A document without sources gives nothing. With ``keep``
     the columns of ``docs`` come back (but for a ``taken`` of their own), and ``taken``, for the documents that give any word.
     """
-    keys = _keys(sources, F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed)
-    slim = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), sources.alias("sources"), *keys))
+    keys = _keys(sources, F.col(f"`{id_col}`"), words(F.col(f"`{text_col}`")) if size is None else size, seed)
+    slim = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), sources.alias("sources"), *keys, *(F.col(f"`{c}`").alias(f"_own_{c}") for c in carry)))
     rows = slim.groupBy("_pattern").agg(F.any_value("sources").alias("sources"), F.sum("_size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} distinct sets of sources")
@@ -178,7 +180,7 @@ def mix(docs: DataFrame, quotas: Callable[[dict], dict], sources: Column, id_col
     if keep:
         row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "taken")).alias("_row")
         return docs.select(row, *keys).join(ends, "_pattern").withColumn("taken", taken()).where("taken > 0").select("_row.*", "taken")
-    return slim.join(ends, "_pattern").select("doc_id", "_pattern", F.col("_size").alias("size"), taken().alias("taken"))
+    return slim.join(ends, "_pattern").select("doc_id", "_pattern", F.col("_size").alias("size"), taken().alias("taken"), *(F.col(f"_own_{c}").alias(c) for c in carry))
 
 
 def weighted(sizes: dict, weights: tuple = (5, 2, 1), share: Fraction = Fraction(3, 2), most: int = 2) -> dict:
@@ -188,7 +190,11 @@ def weighted(sizes: dict, weights: tuple = (5, 2, 1), share: Fraction = Fraction
 
 
 def mix_by_source(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """doc_id, size, source_size, target and taken, where each document has the one source of ``source_col``."""
+    """doc_id, size, source_size, target and taken, where each document has the one source of ``source_col``.
+
+    ``shared_taken`` is what the mix takes if a text belongs to every source that has a copy of it: sources overlap then, and words of
+    shared texts go to whichever source lacks them, at the least repetition in all.
+    """
     told: dict = {}
 
     def quotas(sizes: dict) -> dict:
@@ -197,10 +203,15 @@ def mix_by_source(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
         return targets
 
     d = only(docs, id_col, source_col, text_col).toDF("doc_id", "source", "text")
-    mixed = mix(d, quotas, F.array("source"))
+    d = cut(d.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("h")))
+    held = d.groupBy("h").agg(F.collect_set(F.struct("source")).alias("x"), F.count("*").alias("n"))
+    held = cut(held.select("h", F.array_sort(F.col("x.source")).alias("sources"), "n"))
+    both = join_hot(d, held, ["h"], d.count())
+    mixed = mix(both, quotas, F.array("source"), size=F.col("size"), carry=("sources", "source"))
+    shared = mix(mixed.withColumnRenamed("taken", "_own_taken"), weighted, F.col("sources"), size=F.col("size"), carry=("_own_taken", "source"))
     named = docs.sparkSession.createDataFrame([(s, *x) for s, x in told.items()], "source string, source_size bigint, target double")
-    named = _small(named.withColumn("_pattern", F.to_json(F.array("source"))), len(told))
-    return mixed.join(named, "_pattern").select("doc_id", "size", "source_size", "target", "taken")
+    named = _small(named.withColumn("_source", F.to_json(F.array("source"))).drop("source"), len(told))
+    return shared.select("doc_id", "size", "_own_taken", F.col("taken").alias("shared_taken"), F.to_json(F.array("source")).alias("_source")).join(named, "_source").select("doc_id", "size", "source_size", "target", F.col("_own_taken").alias("taken"), "shared_taken")
 
 
 def select_by_source(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -55,6 +55,36 @@ def test_sources_meet_their_targets(spark):
     assert sorted((r.doc_id or 0, r.taken) for r in kept.collect()) == sorted((r.doc_id or 0, r.taken) for r in got if r.taken)
 
 
+def test_shared_texts_go_where_they_are_needed(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(20, 200))) for _ in range(60)]
+    rows, n = [], 0
+    for k, t in enumerate(texts):
+        for s in ((["big"], ["big", "tiny"], ["mid", None], ["mid"])[k % 4]) * (1 + (k % 8 == 1)):
+            rows.append((n, s, t))
+            n += 1
+    rows += [(n + i, "big", texts[1]) for i in range(150)]
+    got = {r.doc_id: r for r in mixing.mix_by_source(spark.createDataFrame(rows, SCHEMA)).collect()}
+    size = {t: len(t.split()) for t in texts}
+    holders = {t: tuple(sorted({s for _, s, x in rows if x == t}, key=lambda s: (s is None, s or ""))) for t in texts}
+    supply, totals = defaultdict(int), defaultdict(int)
+    for _, _, t in rows:
+        supply[holders[t]] += size[t]
+        for s in holders[t]:
+            totals[s] += size[t]
+    wanted = {s: round(x) for s, x in mixing.weighted(dict(totals)).items()}
+    given = defaultdict(int)
+    for (p, _), words in mixing.cheapest_flow(dict(supply), wanted, 2).items():
+        given[p] += words
+    mine = defaultdict(int)
+    for i, _, t in rows:
+        assert 0 <= got[i].shared_taken <= 2 * got[i].size == 2 * size[t]
+        mine[holders[t]] += got[i].shared_taken
+    assert len(supply) == 4 and any(len(p) > 1 and given[p] for p in given)
+    for p in supply:
+        assert abs(mine[p] - given[p]) <= 4
+
+
 def test_white_space_that_is_no_separator(spark):
     df = spark.createDataFrame([("a\u00a0b c\x0bd\x1fe\u2003f",), (None,), (" \t",)], "text string")
     assert [r.n for r in df.select(mixing.words(F.col("text")).alias("n")).collect()] == [3, 0, 0]
