@@ -1,7 +1,10 @@
 """Document quality by hierarchical empirical Bayes over classifier evidence, in DataFrame expressions.
 
-Classifier: shares of marks other than a sentence's, capitals, repeated lines and repeated words, and length, cut at quantiles of the training rows; its
-evidence is the smoothed log-likelihood ratio of the bins, scaled by the factor that fits the training labels best. Sites: every
+Classifier: shares of marks other than a sentence's, capitals, repeated lines and repeated words, length, and the mean weight of the
+text's distinct words, cut at quantiles of the training rows; its evidence is the smoothed log-likelihood ratio of the bins, scaled
+by the factor that fits the training labels best. Words are hashed into ``BUCKETS``; a bucket's weight is the smoothed log-likelihood
+ratio of its documents, counted over at most ``LEXICAL`` labelled rows, those of the smallest id hashes. They are in two halves, and a
+training row's words are weighed by the other half, so that bins and scale are fitted to what new documents show. Sites: every
 document adds to its path and host, a training row its label, any other document its classifier probability. The global Beta prior
 comes from the hosts' rates by moments; a host's posterior mean is the prior of its paths, with the strength the paths' rates show,
 so that sparse sites shrink to their host and sparse hosts to the whole. A document's score joins its evidence with the posterior
@@ -12,20 +15,23 @@ All statistics are grouped sums over all documents. Sites join back by salted ke
 Defined cases: null and empty texts have the bins of zero length; a null host or path is a site of its own; without training rows
 of both classes the evidence is 0 and the score is the share of good rows (0.5 without any); an id labelled twice counts as good if
 one label says so; repeated rows are scored each and each adds to its site; an empty table gives an empty result; null ids are not
-trained on; further columns are dropped.
+trained on; texts of any length are weighed whole; of equally good scales the smallest counts; further columns are dropped.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import WORD, crc_mod, cut, only
 
 BINS, SMOOTH, SALTS = 12, 1.0, 16
-FEATURES = ("marks", "capitals", "lines", "repeats", "words")
+BUCKETS, LEXICAL = 1 << 15, 20_000
+FEATURES = ("marks", "capitals", "lines", "repeats", "words", "lexical")
 SCALES = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0)
 STRONGEST, WEAKEST = 200.0, 2.0
 
@@ -44,6 +50,47 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
+def buckets(text: Column) -> Column:
+    """The buckets of the text's distinct words, lower-cased."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)))
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+
+
+def _half(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), doc_id), F.lit(2)).cast("int")
+
+
+def weights(counts: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """Weights of the buckets by each half and by both, from (half, label, bucket, documents), where bucket -1 counts all documents."""
+    seen, total = np.zeros((2, 2, BUCKETS)), np.zeros((2, 2))
+    for half, label, bucket, n in counts:
+        if bucket < 0:
+            total[half, label] += n
+        else:
+            seen[half, label, bucket] += n
+    out = []
+    for halves in ([0], [1], [0, 1]):
+        k, n = seen[halves].sum(0), total[halves].sum(0)
+        share = (k + SMOOTH) / (n[:, None] + 2 * SMOOTH)
+        out.append(np.log(share[1]) - np.log(share[0]))
+    return np.round(np.stack(out), 9)
+
+
+def lexical(docs: DataFrame, y: DataFrame, doc_id: Column, text: Column) -> Column:
+    """The mean weight of a text's words: by the first half of the training rows, by the second, and by both. ``y`` has doc_id and y."""
+    few = F.broadcast(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEXICAL))
+    own = docs.select(doc_id.alias("doc_id"), text.alias("text")).join(few, "doc_id")
+    each = own.select(_half(F.col("doc_id")).alias("half"), "y", F.explode(F.concat(F.array(F.lit(-1)), buckets(F.col("text")))).alias("bucket"))
+    held = docs.sparkSession.sparkContext.broadcast(weights([tuple(r) for r in each.groupBy("half", "y", "bucket").count().collect()]))
+
+    @F.pandas_udf("array<double>")
+    def mean(parts: pd.Series) -> pd.Series:
+        w = held.value
+        return pd.Series([w[:, np.asarray(x, np.int64)].mean(1).round(9) if len(x) else np.zeros(3) for x in parts], dtype=object)
+
+    return mean(buckets(text))
+
+
 def _logit(p: Column) -> Column:
     p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.log(p / (1 - p))
@@ -60,10 +107,12 @@ def _beta(mean: float, variance: float, size: float) -> float:
 
 def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, host, path, held_out, evidence, prior, score and keep (score of 0.5 or more). ``labels`` has the ids to learn from."""
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), *(c.alias(k) for k, c in measures(F.col(f"`{text_col}`")).items()))
     y = only(labels, id_col, label_col).toDF("doc_id", "y").where("doc_id is not null and y in (0, 1)")
     y = y.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
-    d = cut(d.join(y, "doc_id", "left"))
+    its_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    d = docs.select(its_id.alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), *(c.alias(k) for k, c in measures(text).items()), lexical(docs, y, its_id, text).alias("lexical"))
+    other = F.when(F.col("y").isNull(), 2).otherwise(1 - _half(F.col("doc_id")))
+    d = cut(d.join(y, "doc_id", "left").withColumn("lexical", F.get("lexical", other)))
     known = d.where("y is not null")
     n, good = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     share = good / n if n else 0.5

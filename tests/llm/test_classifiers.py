@@ -190,3 +190,45 @@ def test_quality_without_labels(spark):
     y = spark.createDataFrame([], "doc_id bigint, quality int")
     assert [round(r.score, 6) for r in quality.score_documents(d, y).collect()] == [0.5, 0.5]
     assert quality.score_documents(d.limit(0), y).collect() == []
+
+
+def test_word_weights_equal_a_slow_ratio(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice(["fine", "prose", "good"] if i % 2 else ["spam", "buy", "prose"]) for _ in range(6)), i % 2) for i in range(60)]
+    d, y = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id bigint, y int")
+    got = {r.doc_id: r.w for r in d.select("doc_id", quality.lexical(d, y, F.col("doc_id"), F.col("text")).alias("w")).collect()}
+    half = {r.doc_id: r.h for r in d.select("doc_id", quality._half(F.col("doc_id")).alias("h")).collect()}
+    for i, t, _ in rows:
+        for j, halves in enumerate(({0}, {1}, {0, 1})):
+            own = [(set(x.split()), q) for k, x, q in rows if half[k] in halves]
+            n = [sum(q == c for _, q in own) for c in (0, 1)]
+            k = {w: [sum(q == c and w in x for x, q in own) for c in (0, 1)] for w in set(t.split())}
+            want = np.mean([np.log((k[w][1] + 1) / (n[1] + 2)) - np.log((k[w][0] + 1) / (n[0] + 2)) for w in k])
+            assert got[i][j] == pytest.approx(want, abs=1e-6)
+
+
+def test_posteriors_equal_plain_arithmetic(spark):
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice(["ba", "ko", "lu"]) for _ in range(8)), f"h{min(i % 7, 2)}", f"p{i % 5}") for i in range(200)]
+    y = {i: int(rng.random() < (0.9 if h == "h0" else 0.3)) for i, _, h, _ in rows if i % 3 == 0}
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, h string, p string")
+    got = {r.doc_id: r for r in quality.score(d, spark.createDataFrame(list(y.items()), "doc_id bigint, quality int"), F.col("h"), F.col("p")).collect()}
+    share = sum(y.values()) / len(y)
+    own = {i: y[i] if i in y else 1 / (1 + np.exp(-(got[i].evidence + np.log(share / (1 - share))))) for i, *_ in rows}
+    sites, hosts = {}, {}
+    for i, _, h, p in rows:
+        sites.setdefault((h, p), []).append(own[i])
+        hosts.setdefault(h, []).append(own[i])
+
+    def strength(groups):
+        n, mean = np.mean([len(g) for g in groups]), sum(map(sum, groups)) / sum(map(len, groups))
+        return mean, quality._beta(mean, np.var([np.mean(g) for g in groups]), n)
+
+    mean, of_hosts = strength(list(hosts.values()))
+    _, of_paths = strength(list(sites.values()))
+    for i, _, h, p in rows:
+        prior = (sum(hosts[h]) + of_hosts * mean) / (len(hosts[h]) + of_hosts)
+        want = (sum(sites[h, p]) - own[i] + of_paths * prior) / (len(sites[h, p]) - 1 + of_paths)
+        assert got[i].prior == pytest.approx(want, abs=1e-4)
+        logit = np.log(want / (1 - want))
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(got[i].evidence + logit))), abs=1e-3)
