@@ -53,14 +53,15 @@ def roles(spark: SparkSession, path: str, domain: str = "example.com", special:
 
 
 def mail_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(msg_id, subject, body) of records ``<DOC> path``, headers, an empty line, text, ``</DOC>``; the path's third part is the id."""
+    """(msg_id, subject, body) of records ``<DOC> path``, headers, an empty line, text, ``</DOC>``; the path's third part is the id, or its last."""
     d = spark.read.option("lineSep", "</DOC>").text(path).where(F.contains("value", F.lit("<DOC>")))
     record = F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), r"(?s)^.*?<DOC>\s*", "")
     d = d.select(record.alias("r"))
     head, body = F.regexp_extract("r", r"(?s)^(.*?)(?:\n[ \t]*\n|$)", 1), F.regexp_extract("r", r"(?s)\n[ \t]*\n(.*)$", 1)
     subject = F.regexp_extract(head, r"(?m)^Subject:[ \t]*(.*)$", 1)
     first = F.split_part(F.split_part("r", F.lit("\n"), F.lit(1)), F.lit(" "), F.lit(1))
-    return d.select(F.get(F.split(T.strip(first), "/"), F.lit(2)).alias("msg_id"), F.nullif(subject, F.lit("")).alias("subject"), body.alias("body"))
+    parts = F.split(T.strip(first), "/")
+    return d.select(F.coalesce(F.get(parts, F.lit(2)), F.element_at(parts, -1)).alias("msg_id"), F.nullif(subject, F.lit("")).alias("subject"), body.alias("body"))
 
 
 def vocabulary(spark: SparkSession, path: str, stop: tuple[str, ...] = T.STOPWORDS) -> DataFrame:
