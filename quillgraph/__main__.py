@@ -48,7 +48,7 @@ def search(spark: SparkSession, a: argparse.Namespace) -> None:
     grid = retrieval.grid(spark)
     scores = retrieval.feedback(_asked(spark, a.queries), retrieval.corpus(readers.terms(spark, a.docs)), grid)
     ap = retrieval.average_precision(scores, judged.where("rel > 0").select("query_id", "doc_id"), by=("run",))
-    sinks.grid_file(ap.groupBy("run").agg(F.avg("ap").alias("map")).join(grid, "run").select("k", "n_d", "n_w", "map"), a.out)
+    sinks.grid_blocks(ap.groupBy("run").agg(F.avg("ap").alias("map")).join(grid, "run").select("k", "n_d", "n_w", "map"), a.out)
 
 
 def duplicates(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -96,7 +96,7 @@ def crawl_pages(spark: SparkSession, a: argparse.Namespace) -> None:
     seeds = spark.createDataFrame([(s,) for s in a.seed], "url string")
     done = crawl.loop(seeds, crawl.stored(spark.read.parquet(a.pages)), a.domain, files, a.agent, obey_delay=a.obey_crawl_delay)
     crawl.report(done, a.domain).show(1000, truncate=False)
-    done.pages.write.mode("overwrite").parquet(a.out)
+    done.pages.withColumnRenamed("url", "page_id").write.mode("overwrite").parquet(a.out)
 
 
 def parser() -> argparse.ArgumentParser:

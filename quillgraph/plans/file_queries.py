@@ -119,7 +119,7 @@ def dot_file(spark: SparkSession, sf: str) -> DataFrame:
 def grid_file(spark: SparkSession, sf: str) -> DataFrame:
     at = folder(spark, "files")
     points = retrieval.grid(spark)
-    sinks.grid_file(points.select("k", "n_d", "n_w", (F.col("n_w") / F.lit(8.0)).alias("map")), at)
+    sinks.grid_blocks(points.select("k", "n_d", "n_w", (F.col("n_w") / F.lit(8.0)).alias("map")), at)
     return spark.read.text(at).withColumnRenamed("value", "line")
 
 

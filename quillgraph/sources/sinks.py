@@ -35,7 +35,12 @@ def dot_file(labelled: DataFrame, path: str) -> None:
 
 
 def grid_file(grid: DataFrame, path: str) -> None:
-    """Results of a parameter grid as comma-separated values, in order of the parameters, an empty line in front of each k."""
+    """Results of a parameter grid as comma-separated values with a header, in order of the parameters."""
+    grid.orderBy("k", "n_d", "n_w").write.mode("overwrite").option("header", True).csv(path)
+
+
+def grid_blocks(grid: DataFrame, path: str) -> None:
+    """The same as lines k,n_d,n_w,map without a header, an empty line in front of each k, as plotting tools take them."""
     values = [F.col(c).cast("string") for c in ("k", "n_d", "n_w", "map")]
     rows = grid.select("k", "n_d", "n_w", F.concat_ws(",", *values).alias("line"))
     heads = grid.select("k", F.lit(-1).alias("n_d"), F.lit(-1).alias("n_w"), F.lit("").alias("line")).distinct()
