@@ -156,23 +156,28 @@ def expansion_terms(queries: DataFrame, docs: Corpus, grid: DataFrame) -> DataFr
 
     ``grid`` has run, k, n_d and n_w. Words that the corpus lacks are dropped.
     """
-    # Ranks are taken once for each k, then every run of the grid keeps its own number of documents. A grid is small.
+    # Documents are ranked once for each k, words once for each k and n_d; then every run keeps its own number. A grid is small.
     points = grid.collect()
     ks = list(enumerate(sorted({p["k"] for p in points})))
-    by_k = grid.sparkSession.createDataFrame(ks, "which int, k double")
+    which = {k: i for i, k in ks}
+    sets = sorted({(p["k"], p["n_d"]) for p in points})
+    most = {x: max(p["n_w"] for p in points if (p["k"], p["n_d"]) == x) for x in sets}
+    spark = grid.sparkSession
+    texts = F.broadcast(spark.createDataFrame([(i, which[k], k, n_d, most[k, n_d]) for i, (k, n_d) in enumerate(sets)], "run int, which int, k double, n_d int, n_w int"))
     queries = cut(queries)
-    asked = queries.withColumnRenamed("tf", "weight").crossJoin(F.broadcast(by_k.select(F.col("which").alias("run"))))
+    asked = queries.withColumnRenamed("tf", "weight").crossJoin(F.broadcast(spark.createDataFrame([(i,) for i, _ in ks], "run int")))
     first = tfidf_runs(asked, docs, ks)
     best = top(first, max(p["n_d"] for p in points), ("run",)).select(F.col("run").alias("which"), "query_id", "doc_id", "rank")
-    best = best.join(F.broadcast(by_k), "which")
-    picked = cut(best.join(F.broadcast(grid), "k").where("rank <= n_d").select("run", "k", "n_w", "query_id", "doc_id"))
-    theirs = picked.join(docs.only(picked).postings, "doc_id").select("run", "k", "n_w", "query_id", "term", "tf")
-    own = picked.select("run", "k", "n_w", "query_id").distinct().join(queries, "query_id").select("run", "k", "n_w", "query_id", "term", "tf")
-    mega = own.unionByName(theirs).groupBy("run", "k", "n_w", "query_id", "term").agg(F.sum("tf").alias("tf"))
+    kept = ("run", "k", "n_d", "n_w", "query_id")
+    picked = cut(best.join(texts, "which").where("rank <= n_d").select(*kept, "doc_id"))
+    theirs = picked.join(docs.only(picked).postings, "doc_id").select(*kept, "term", "tf")
+    own = picked.select(*kept).distinct().join(queries, "query_id").select(*kept, "term", "tf")
+    mega = own.unionByName(theirs).groupBy(*kept, "term").agg(F.sum("tf").alias("tf"))
     mega = cut(mega.withColumn("length", F.sum("tf").over(Window.partitionBy("run", "query_id"))))
     scored = mega.join(docs.df_of(mega), "term").crossJoin(F.broadcast(docs.stats))
-    kept = top(scored.withColumn("score", _weight(F.col("k"))), F.col("n_w"), ("run",), "term")
-    return kept.select("run", "k", "query_id", "term", F.col("score").alias("weight"))
+    ranked = top(scored.withColumn("score", _weight(F.col("k"))), F.col("n_w"), ("run",), "term").select("k", "n_d", "query_id", "term", "score", "rank")
+    runs = F.broadcast(grid.select("run", "k", "n_d", "n_w"))
+    return ranked.join(runs, ["k", "n_d"]).where("rank <= n_w").select("run", "k", "query_id", "term", F.col("score").alias("weight"))
 
 
 def feedback(queries: DataFrame, docs: Corpus, grid: DataFrame) -> DataFrame:
