@@ -168,18 +168,26 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "event_type", "n")
 
 
-#: The pages as a web of their own: each links to two others by their URLs, and to one that does not exist.
+def _own(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, url): the least URL of each page number."""
+    return _pages(spark, sf).groupBy("page_id").agg(F.min("url").alias("url"))
+
+
+#: The pages as a web of their own: each links to two others by their URLs, and to one that does not exist. Pages of one URL are one
+#: page with the links of all of them, malformed if all are.
 def _web(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _pages(spark, sf).groupBy("page_id").agg(F.min("url").alias("url"))
-    links = _numbered(spark, sf).join(pages.select(F.col("page_id").alias("dst"), F.col("url").alias("to")), "dst").select("src", "to")
-    gone = pages.where("page_id % 5 = 0").select(F.col("page_id").alias("src"), F.concat("url", F.lit("/gone")).alias("to"))
-    anchors = links.unionByName(gone).groupBy("src").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="'), "to", F.lit('">x</a>')))), "").alias("a"))
-    html = F.concat(F.lit("<html><nav>"), F.coalesce("a", F.lit("")), F.lit("</nav>"), F.when(F.col("page_id") % 11 == 0, "<p").otherwise("<p>"))
-    return pages.join(anchors, F.col("page_id") == F.col("src"), "left").select("url", html.alias("html"))
+    own = _own(spark, sf)
+    links = _numbered(spark, sf).join(own.select(F.col("page_id").alias("dst"), F.col("url").alias("to")), "dst").select("src", "to")
+    gone = own.where("page_id % 5 = 0").select(F.col("page_id").alias("src"), F.concat("url", F.lit("/gone")).alias("to"))
+    each = own.join(links.unionByName(gone), F.col("page_id") == F.col("src"), "left")
+    anchors = F.array_sort(F.collect_list(F.concat(F.lit('<a href="'), "to", F.lit('">x</a>'))))
+    whole = each.groupBy("url").agg(F.array_join(anchors, "").alias("a"), F.min(F.col("page_id") % 11 == 0).alias("bad"))
+    html = F.concat(F.lit("<html><nav>"), "a", F.lit("</nav>"), F.when(F.col("bad"), "<p").otherwise("<p>"))
+    return whole.select("url", html.alias("html"))
 
 
 def _crawled(spark: SparkSession, sf: str, **options: bool) -> crawl.Crawl:
-    seeds = _pages(spark, sf).where(F.col("page_id") % SEEDS == 0).select("url")
+    seeds = _own(spark, sf).where(F.col("page_id") % SEEDS == 0).select("url")
     return crawl.loop(seeds, crawl.stored(_web(spark, sf)), _domains(spark, sf, LOOP_DOMAINS), _files(spark, sf), AGENT, web.plain_links(F.col("html"), OPEN, CLOSE), **options)
 
 
