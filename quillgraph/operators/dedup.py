@@ -17,14 +17,23 @@ from quillgraph.storage import cut
 
 def exact_classes(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     """(id, class_id): the smallest id with the same key. One row a document however large a group is."""
-    keyed = cut(df.select(F.col(id_col).alias("id"), key.alias("_key"))).where("_key is not null")
+    return _shared(df, key, id_col).select("id", "class_id")
+
+
+def _shared(df: DataFrame, key: Column, id_col: str, check: Column | None = None) -> DataFrame:
+    """(id, _key, _check, class_id) of the rows that do not have their key alone."""
+    keyed = cut(df.select(F.col(id_col).alias("id"), key.alias("_key"), (F.lit(None) if check is None else check).cast("string").alias("_check"))).where("_key is not null")
     least = keyed.groupBy("_key").agg(F.min("id").alias("class_id"), F.count("*").alias("_n")).where("_n > 1")
-    return keyed.join(least, "_key").select("id", "class_id")
+    return keyed.join(least, "_key").select("id", "_key", "_check", "class_id")
 
 
 def same_words(words: Column) -> Column:
     """A key that is equal where the words are: they hold no space, and the digest is short to shuffle."""
-    return F.sha2(F.array_join(words, " ").cast("binary"), 256)
+    return same_text(F.array_join(words, " "))
+
+
+def same_text(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
 
 
 def class_pairs(classes: DataFrame) -> DataFrame:
@@ -34,8 +43,9 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     return a.join(b, "class_id").where("id_a < id_b").select("id_a", "id_b")
 
 
-def exact_pairs(df: DataFrame, key: Column, id_col: str) -> DataFrame:
-    return class_pairs(exact_classes(df, key, id_col))
+def exact_pairs(df: DataFrame, key: Column, id_col: str, check: Column | None = None) -> DataFrame:
+    """All pairs (id_a < id_b) of one key, and of one ``check`` if the key is a checksum that different texts may have in common."""
+    return class_pairs(_shared(df, key, id_col, check).select("id", F.struct("_key", "_check").alias("class_id")))
 
 
 def _blocks(digits: int, d: int, per_digit: int = 1) -> list[tuple[int, int]]:

@@ -107,7 +107,7 @@ def manual_checksum(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_dups_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.exact_pairs(_clean(spark, sf).where("clean is not null"), T.adler32(F.col("clean")), "doc_id")
+    return dedup.exact_pairs(_clean(spark, sf).where("clean is not null"), T.adler32(F.col("clean")), "doc_id", dedup.same_text(F.col("clean")))
 
 
 def exact_dups_tokens(spark: SparkSession, sf: str) -> DataFrame:
