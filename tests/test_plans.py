@@ -39,6 +39,12 @@ def test_pages_of_one_url_are_one_page_with_the_links_of_all(spark, shared_urls,
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["crawl_loop_stats"])
+def test_counts_and_times_of_pages_of_one_url(spark, shared_urls, name):
+    got, want = rows_of(spark, shared_urls, name)
+    assert got == want
+
+
 def test_texts_of_one_checksum_are_no_pair(spark, tmp_path):
     a, b = (f"banner\n\nthis line is longer than seven words {w} end" for w in ("aca", "bab"))
     assert zlib.adler32(a.encode()) == zlib.adler32(b.encode())
