@@ -39,7 +39,7 @@ def test_pages_of_one_url_are_one_page_with_the_links_of_all(spark, shared_urls,
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["crawl_loop_stats"])
+@pytest.mark.parametrize("name", ["crawl_loop_stats", "crawl_loop_times"])
 def test_counts_and_times_of_pages_of_one_url(spark, shared_urls, name):
     got, want = rows_of(spark, shared_urls, name)
     assert got == want
